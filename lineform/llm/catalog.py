@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lineform.llm import sentencepieces
+from lineform.llm import decontamination, personal_data, sentencepieces, transport_streams
 
 
 def queries() -> dict:
     return {
+        "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
         "op5_sentencepiece_spans": sentencepieces.op5_sentencepiece_spans,
+        "op6_transport_streams": transport_streams.op6_transport_streams,
+        "op9_personal_data": personal_data.op9_personal_data,
     }
 
 
