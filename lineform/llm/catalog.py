@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lineform.llm import decontamination, personal_data, sentencepieces, transport_streams
+from lineform.llm import decontamination, ngram_join, personal_data, sentencepieces, toxicity, transport_streams
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
         "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
         "op5_sentencepiece_spans": sentencepieces.op5_sentencepiece_spans,
         "op6_transport_streams": transport_streams.op6_transport_streams,
         "op9_personal_data": personal_data.op9_personal_data,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,3 +69,11 @@ def cut(df: DataFrame) -> DataFrame:
 def lit_crc_mod(column, modulus: int):
     """crc32 of the id written in decimal, modulo modulus."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder; columns that a later step doesn't ask for aren't read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lineform-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
