@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lineform.llm import decontamination, ngram_join, personal_data, sentencepieces, toxicity, transport_streams
+from lineform.llm import decontamination, ngram_join, personal_data, secret_scan, sentencepieces, suffix_dedup, toxicity, transport_streams
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
         "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_sentencepiece_spans": sentencepieces.op5_sentencepiece_spans,
         "op6_transport_streams": transport_streams.op6_transport_streams,
         "op9_personal_data": personal_data.op9_personal_data,
