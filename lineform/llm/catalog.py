@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineform.llm import decontamination, ngram_join, personal_data, quality, secret_scan, sentencepieces, suffix_dedup, toxicity, transport_streams
+from lineform.llm import context_mixing, decontamination, ngram_join, personal_data, quality, secret_scan, sentencepieces, suffix_dedup, toxicity, transport_streams
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_sentencepiece_spans": sentencepieces.op5_sentencepiece_spans,
         "op6_transport_streams": transport_streams.op6_transport_streams,
         "op7_quality_votes": quality.op7_quality_votes,
+        "op8_context_mixing": context_mixing.op8_context_mixing,
         "op9_personal_data": personal_data.op9_personal_data,
         "op10_toxicity": toxicity.op10_toxicity,
     }
