@@ -6,11 +6,11 @@ segment, and the partial counts are summed by pair.
 
 Candidates come from the order's head. A text's prefix is the part of its set in which it must share ``need``
 n-grams with each partner; pairs that share fewer can't link. Texts of equal sets are one class from the
-start. So that a large group of near copies doesn't give all its pairs, rounds of stars come first: in each
-bucket of a prefix n-gram one text leads, every text is held against the leader that it shares most with, and
-verified links join components. Rounds go on while that leaves more pairs between components than there are
-bucket entries. The rest is then enumerated: every pair of texts of different components that shares a bucket,
-without a cap. So components are exact: no link between different components is left out.
+start. Large groups of near copies, most pairs of which may fall just short of a link, would give all their
+pairs in a join of prefix entries. So texts that share enough of their prefixes with a leader form families.
+Within a family the partial counts of all pairs are summed in a task, in chunks of bounded size, and only
+links that join components are given out. Pairs of different families that share enough prefix n-grams are
+enumerated without a cap, and their partial counts are joined and summed by pair. So components are exact.
 
 Which n-grams are frequent is kept as a bitmap of fixed size; hash collisions in it change the order, and so
 only speed. N-grams and equal sets are compared by 64-bit hashes.
@@ -23,7 +23,6 @@ one; a null id is never a group's smallest; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,11 @@ FRAGMENTS = 8
 FREQUENT = 16
 #: Bits of the bitmap of frequent n-grams, and of that of texts with candidates; both are broadcast.
 BITS = 1 << 25
-MOST_ROUNDS = 12
+MOST_ROUNDS = 3
+#: Texts, and n-grams of texts, of a family that meet in one task: two chunks at most.
+CHUNK, CHUNK_GRAMS = 2048, 1 << 22
+#: Pairs that are broadcast to the segments, at most; more are shuffled to them.
+MOST_BROADCAST = 200_000
 
 _PROFILE = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("head", pa.list_(pa.int64()))])
 _SEGMENT = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("segment", pa.list_(pa.int64()))])
@@ -141,8 +144,11 @@ def _segments(n: int, shared, wanted):
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed by pair."""
-    left = pairs.join(segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")), "a")
-    both = left.join(segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb")), ["b", "fragment"])
+    if pairs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        pairs = F.broadcast(pairs)
+    left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")).join(pairs, "a")
+    right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb")).join(pairs.select("a", "b"), "b")
+    both = left.join(right, ["a", "b", "fragment"])
     partial = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("partial"))
     once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("partial").alias("partial"))  # a repeated row has its segments again
     summed = once.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
@@ -153,41 +159,127 @@ def _near_size(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def _moved(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """The buckets with components after more links."""
-    roots = components(links)
-    up = roots.select(F.col("node").alias("component"), F.col("root").alias("above"))
-    return common.stored(buckets.join(up, "component", "left").select("h", "node", "n", F.coalesce("above", "component").alias("component")))
+def _star_edges(buckets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """An edge from each text to the leader, of buckets that it is in, with which it shares most of its prefix, if that is enough to link."""
+    rank = F.xxhash64("node", F.lit(seed))
+    leaders = buckets.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("family").alias("fl"))).alias("l")).select("h", "l.*")
+    shared = buckets.join(leaders, "h").where("family <> fl").selectExpr("node", "n AS na", "leader", "nl AS nb", "family", "fl").where(_near_size(percent))
+    counted = shared.groupBy("node", "na", "leader", "nb", "family", "fl").agg(F.count("*").alias("k")).where(F.col("k") >= need_column(F.least("na", "nb"), percent))
+    best = counted.groupBy("node", "family").agg(F.max(F.struct("k", "leader", "fl")).alias("m"))
+    return best.select(F.col("family").alias("a"), F.col("m.fl").alias("b"))
 
 
-def _star_links(buckets: DataFrame, segments: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Links, and the components that they join, of every text with the leader of another component with which it shares most buckets."""
-    rank = F.xxhash64("node", F.lit(seed))
-    leaders = buckets.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("component").alias("cl"))).alias("l")).select("h", "l.*")
-    shared = buckets.join(leaders, "h").where("component <> cl").selectExpr("node", "n AS na", "leader", "nl AS nb", "component", "cl").where(_near_size(percent))
-    counted = shared.groupBy("node", "na", "leader", "nb", "component", "cl").agg(F.count("*").alias("k"))
-    best = counted.groupBy("node", "na", "component").agg(F.max(F.struct("k", F.negate("leader").alias("minus"), "leader", "nb", "cl")).alias("m")).select("node", "na", "component", "m.*")
-    pairs = common.stored(best.selectExpr("node AS a", "leader AS b", "na", "nb", "component AS ca", "cl AS cb"))
-    good = verified(pairs.select("a", "b", "na", "nb"), segments, percent)
-    return good.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+def _mixed(buckets: DataFrame) -> DataFrame:
+    """The entries of buckets with several families."""
+    several = buckets.groupBy("h").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("h")
+    return common.stored(buckets.join(several, "h"))
+
 
+def _families(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """node, n and family of texts that look alike, and the bucket entries that different families share.
+
+    Stars are joined to components, in rounds, until the pairs left between families are few. Which texts are one family doesn't change the result."""
+    members = entries.select("node", "n").distinct().withColumn("family", F.col("node"))
+    buckets = entries.select("h", "node", "n", F.col("node").alias("family"))
+    for seed in range(MOST_ROUNDS):
+        by = buckets.groupBy("h", "family").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        left = by.agg(F.sum(F.expr("(all * all - same) div 2")).alias("pairs"), F.sum("all").alias("rows")).first()
+        if (left.pairs or 0) <= (left.rows or 0):
+            break
+        up = components(_star_edges(buckets, percent, seed)).select(F.col("node").alias("family"), "root")
+        if up.isEmpty():
+            break
+        moved = lambda df: df.join(up, "family", "left").withColumn("family", F.coalesce("root", "family")).drop("root")  # noqa: B023, E731
+        members = common.stored(moved(members))
+        buckets = _mixed(moved(buckets).select("h", "node", "n", "family"))
+    return members.select("node", "n", "family"), buckets
+
+
+def _family_links(families: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Links that join the texts of each family. Partial overlaps are counted fragment by fragment and summed by pair within a task; pairs that don't link are not given out.
+
+    A family of more than CHUNK texts, or of more n-grams than CHUNK_GRAMS, is cut into chunks that meet two by two.
+    """
+    sizes = families.groupBy("family").agg(F.count("*").alias("g"), F.sum("n").alias("grams")).where("g > 1")
+    chunks = F.greatest(F.ceil(F.col("g") / CHUNK), F.ceil(F.col("grams") / CHUNK_GRAMS)).cast("int")
+    placed = families.join(sizes.select("family", chunks.alias("chunks")), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tasks = met.select("node", "n", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = segments.join(tasks, "node").select("task", "fragment", "node", "n", "segment")
+    return rows.repartition(parts, "task").sortWithinPartitions("task", "fragment").mapInArrow(_met(percent), "a long, b long")
+
+
+def _joined(fragments: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]], percent: int) -> list[tuple[int, int]]:
+    """Pairs (node, smallest node that it is joined to) of one task's texts: nodes, set sizes and segments by fragment."""
+    nodes, first = np.unique(np.concatenate([f[0] for f in fragments]), return_index=True)
+    n = np.concatenate([f[1] for f in fragments])[first]
+    overlap = np.zeros((len(nodes), len(nodes)), np.float32)
+    for own, _, parts in fragments:  # partial counts of a fragment, summed by pair
+        rows = np.repeat(np.searchsorted(nodes, own), list(map(len, parts)))
+        _, column, seen = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        place = np.cumsum(seen > 1) - 1
+        keep = seen[column] > 1
+        rows, column = rows[keep], place[column[keep]]
+        for at in range(0, int(place[-1]) + 1, 1024):
+            here = (column >= at) & (column < at + 1024)
+            if here.any():
+                present, dense = np.unique(rows[here], return_inverse=True)
+                has = np.zeros((len(present), 1024), np.float32)
+                has[dense, column[here] - at] = 1
+                overlap[np.ix_(present, present)] += has @ has.T
+    linked = (100 + percent) * overlap >= percent * (n[:, None] + n[None, :])
+    label = np.arange(len(nodes))
+    while True:
+        new = np.where(linked, label[None, :], len(nodes)).min(1)
+        new = np.minimum(new, label)[np.minimum(new, label)]
+        if (new == label).all():
+            return [(int(nodes[i]), int(nodes[x])) for i, x in enumerate(label.tolist()) if x != i]
+        label = new
+
+
+def _met(percent: int):
+    def run(batches):
+        task, kind, fragments = None, None, []
+
+        def done():
+            links = _joined(fragments, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            tasks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((tasks[1:] != tasks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tasks)], strict=True):
+                if lo == hi:
+                    continue
+                if task is not None and tasks[lo] != task:
+                    yield done()
+                    fragments, kind = [], None
+                task = tasks[lo]
+                lists = batch.column(4).slice(lo, hi - lo)
+                flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+                offsets = offsets - offsets[0]
+                parts = [flat[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                own, n = (batch.column(k).slice(lo, hi - lo).to_numpy() for k in (2, 3))
+                if kinds[lo] == kind:  # the fragment goes on in a new batch
+                    before = fragments.pop()
+                    own, n, parts = np.concatenate([before[0], own]), np.concatenate([before[1], n]), before[2] + parts
+                fragments.append((own, n, parts))
+                kind = kinds[lo]
+        if fragments:
+            yield done()
 
-def _pairs_left(buckets: DataFrame) -> tuple[int, int]:
-    """Pairs of bucket entries of different components, and the number of entries."""
-    by = buckets.groupBy("h", "component").agg(F.count("*").alias("m"))
-    row = by.groupBy("h").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same")).agg(F.sum(F.expr("(all * all - same) div 2")), F.sum("all")).first()
-    return row[0] or 0, row[1] or 0
+    return run
 
 
 def _rest_links(buckets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """All links between different components."""
-    a = buckets.selectExpr("h", "node AS a", "n AS na", "component AS ca")
-    b = buckets.selectExpr("h", "node AS b", "n AS nb", "component AS cb")
-    met = a.join(b, "h").where("a < b AND ca <> cb").where(_near_size(percent))
-    counted = met.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("k"))
-    pairs = common.stored(counted.where(F.col("k") >= need_column(F.least("na", "nb"), percent)))
-    good = verified(pairs.select("a", "b", "na", "nb"), segments, percent)
-    return good.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    """All links between different families."""
+    a = buckets.selectExpr("h", "node AS a", "n AS na", "family AS fa")
+    b = buckets.selectExpr("h", "node AS b", "n AS nb", "family AS fb")
+    met = a.join(b, "h").where("a < b AND fa <> fb").where(_near_size(percent))
+    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    pairs = common.stored(counted.where(F.col("k") >= need_column(F.least("na", "nb"), percent)).drop("k"))
+    return verified(pairs, segments, percent).select("a", "b")
 
 
 def need_column(n, percent: int):
@@ -203,26 +295,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     profile = common.stored(own.mapInArrow(_profiles(n, percent, frequent), "row_id long, n long, node long, head array<long>"))
     # of each class of equal sets, one text stands for all
     classes = profile.where("n > 0").groupBy("node").agg(F.min(F.coalesce("row_id", F.lit(0))).alias("row_id"))
-    firsts = profile.select("node", F.coalesce("row_id", F.lit(0)).alias("row_id"), "n", "head").join(classes, ["node", "row_id"]).select("node", "row_id", "n", F.explode("head").alias("h")).distinct()
+    firsts = profile.select("node", F.coalesce("row_id", F.lit(0)).alias("row_id"), "n", "head").join(classes, ["node", "row_id"]).select("node", "row_id", "n", F.explode("head").alias("h"))
     shared = firsts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     met = common.stored(firsts.join(shared, "h"))
     able = met.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need_column(F.col("n"), percent)).select("node")
-    entries = common.stored(met.join(able, "node").select("h", "node", "row_id", "n"))
+    entries = common.stored(met.join(able, "node").select("h", "node", "row_id", "n").distinct())
     wanted = spark.sparkContext.broadcast(_bitmap(entries.select(F.col("row_id").alias("h")).distinct()))
     segments = common.stored(own.mapInArrow(_segments(n, frequent, wanted), "node long, fragment int, segment array<long>"))
 
-    buckets, links = entries.select("h", "node", "n", F.col("node").alias("component")), []
-    for seed in range(MOST_ROUNDS):
-        left, rows = _pairs_left(buckets)
-        if left <= 2 * rows:
-            break
-        new = common.stored(_star_links(buckets, segments, percent, seed))
-        if new.isEmpty():
-            break
-        links.append(new)
-        buckets = _moved(buckets, new)
-    links.append(_rest_links(buckets, segments, percent))
-    roots = components(reduce(DataFrame.unionByName, links))
+    families, buckets = _families(entries, percent)
+    links = _family_links(families, segments, percent)
+    rest = _rest_links(buckets, segments, percent)
+    roots = components(links.unionByName(rest))
     rows = profile.select("row_id", "n", "node").join(roots, "node", "left").select("row_id", "n", F.coalesce("root", "node").alias("root"))
     rows = common.stored(rows)
     least = rows.where("n > 0").groupBy("root").agg(F.min("row_id").alias("least"))

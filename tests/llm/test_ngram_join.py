@@ -48,8 +48,9 @@ def test_against_brute_force(spark, monkeypatch):
     texts = [*made(1), None, "", " \n ", "a b", "A  b", "É é x"]
     rows = [*((100 + i * 7 % 1000, t) for i, t in enumerate(texts)), (100, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "'x' AS node").repartition(5)
-    for frequent in (16, 1):
+    for frequent, chunk in ((16, 2048), (1, 3)):
         monkeypatch.setattr(J, "FREQUENT", frequent)
+        monkeypatch.setattr(J, "CHUNK", chunk)
         for n, percent in ((3, 90), (5, 80)):
             assert sorted(map(tuple, J.groups(df, n=n, percent=percent).collect())) == brute(rows, n, percent)
 
