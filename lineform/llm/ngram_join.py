@@ -160,19 +160,28 @@ def _near_size(percent: int) -> str:
 
 
 def _star_edges(buckets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """An edge from each text to the leader, of buckets that it is in, with which it shares most of its prefix, if that is enough to link."""
+    """An edge from each text to the leader, of buckets that it is in, with which it shares most of its prefix, if that is enough to link; in later rounds, half of that or less, for texts that are met in many buckets are better counted together."""
     rank = F.xxhash64("node", F.lit(seed))
     leaders = buckets.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("family").alias("fl"))).alias("l")).select("h", "l.*")
     shared = buckets.join(leaders, "h").where("family <> fl").selectExpr("node", "n AS na", "leader", "nl AS nb", "family", "fl").where(_near_size(percent))
-    counted = shared.groupBy("node", "na", "leader", "nb", "family", "fl").agg(F.count("*").alias("k")).where(F.col("k") >= need_column(F.least("na", "nb"), percent))
+    counted = shared.groupBy("node", "na", "leader", "nb", "family", "fl").agg(F.count("*").alias("k")).where(F.col("k") * (1 << seed) >= need_column(F.least("na", "nb"), percent))
     best = counted.groupBy("node", "family").agg(F.max(F.struct("k", "leader", "fl")).alias("m"))
     return best.select(F.col("family").alias("a"), F.col("m.fl").alias("b"))
 
 
-def _mixed(buckets: DataFrame) -> DataFrame:
-    """The entries of buckets with several families."""
-    several = buckets.groupBy("h").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("h")
-    return common.stored(buckets.join(several, "h"))
+def _able(entries: DataFrame, percent: int) -> DataFrame:
+    """Texts with enough entries for a link: as many as a partner of the least size that can link must share with them."""
+    counted = entries.groupBy("node", "n").agg(F.count("*").alias("k"))
+    return counted.where(F.col("k") >= need_column(F.floor(F.col("n") * percent / 100), percent)).select("node")
+
+
+def _mixed(buckets: DataFrame, percent: int) -> DataFrame:
+    """The entries of buckets with several families, of texts that have enough of them to link outside of theirs."""
+    for _ in range(2):
+        several = buckets.groupBy("h").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("h")
+        buckets = common.stored(buckets.join(several, "h"))
+        buckets = buckets.join(_able(buckets, percent), "node").select("h", "node", "n", "family")
+    return common.stored(buckets)
 
 
 def _families(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +200,7 @@ def _families(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             break
         moved = lambda df: df.join(up, "family", "left").withColumn("family", F.coalesce("root", "family")).drop("root")  # noqa: B023, E731
         members = common.stored(moved(members))
-        buckets = _mixed(moved(buckets).select("h", "node", "n", "family"))
+        buckets = _mixed(moved(buckets).select("h", "node", "n", "family"), percent)
     return members.select("node", "n", "family"), buckets
 
 
@@ -298,8 +307,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     firsts = profile.select("node", F.coalesce("row_id", F.lit(0)).alias("row_id"), "n", "head").join(classes, ["node", "row_id"]).select("node", "row_id", "n", F.explode("head").alias("h"))
     shared = firsts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     met = common.stored(firsts.join(shared, "h"))
-    able = met.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need_column(F.col("n"), percent)).select("node")
-    entries = common.stored(met.join(able, "node").select("h", "node", "row_id", "n").distinct())
+    entries = common.stored(met.join(_able(met, percent), "node").select("h", "node", "row_id", "n").distinct())
     wanted = spark.sparkContext.broadcast(_bitmap(entries.select(F.col("row_id").alias("h")).distinct()))
     segments = common.stored(own.mapInArrow(_segments(n, frequent, wanted), "node long, fragment int, segment array<long>"))
 
