@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time, whatever the size of Spark's batches.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 4096
 
 
@@ -26,13 +26,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cuts batches by rows so that a slice has about SLICE_BYTES of text, one row at least."""
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches by rows so that a slice has about ``most`` bytes of text, one row at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+            if i > start and (held + n > most or i - start >= SLICE_ROWS):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
