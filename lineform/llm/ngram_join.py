@@ -34,6 +34,7 @@ from lineform.llm.components import components
 from lineform.llm.shingles import shingle_sets
 
 FRAGMENTS = 8
+ENTRY = "h long, node long, row_id long, n long"
 #: Prefix entries from which an n-gram counts as frequent and goes to the end of the order.
 FREQUENT = 16
 #: Bits of the bitmap of frequent n-grams, and of that of texts with candidates; both are broadcast.
@@ -112,6 +113,27 @@ def _profiles(n: int, percent: int, shared):
     return run
 
 
+def _entries(standing, again):
+    """A row for each prefix n-gram of texts that stand for their class (and, by the bitmap's chance, of some copies); of n-grams that occur again alone, where they are known."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array(_bits_of(standing.value, ids.view(np.uint64))))
+            lists = batch.column(3)
+            h = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            if again is not None:
+                keep = _bits_of(again.value, h.view(np.uint64))
+                h, row = h[keep], row[keep]
+            nodes, n = (batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (1, 2))
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)[row]
+            for at in range(0, len(h), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 18)], pa.int64()) for x in (h, nodes, ids, n)], names=["h", "node", "row_id", "n"])
+
+    return run
+
+
 def _segments(n: int, shared, wanted):
     """The segments of texts that may have candidates; an n-gram's fragment is its place in the global order."""
 
@@ -303,10 +325,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     frequent = spark.sparkContext.broadcast(_bitmap(hashes.groupBy("h").count().where(f"count > {FREQUENT}")))
     profile = common.stored(own.mapInArrow(_profiles(n, percent, frequent), "row_id long, n long, node long, head array<long>"))
     # of each class of equal sets, one text stands for all
-    classes = profile.where("n > 0").groupBy("node").agg(F.min(F.coalesce("row_id", F.lit(0))).alias("row_id"))
-    firsts = profile.select("node", F.coalesce("row_id", F.lit(0)).alias("row_id"), "n", "head").join(classes, ["node", "row_id"]).select("node", "row_id", "n", F.explode("head").alias("h"))
-    shared = firsts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    met = common.stored(firsts.join(shared, "h"))
+    classes = profile.where("n > 0").groupBy("node").agg(F.min(F.coalesce("row_id", F.lit(0))).alias("h"))
+    standing = spark.sparkContext.broadcast(_bitmap(classes.select("h")))
+    heads = profile.select("row_id", "node", "n", "head")
+    shared = common.stored(heads.mapInArrow(_entries(standing, None), ENTRY).select("h").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    again = spark.sparkContext.broadcast(_bitmap(shared))
+    met = common.stored(heads.mapInArrow(_entries(standing, again), ENTRY).join(shared, "h"))
     entries = common.stored(met.join(_able(met, percent), "node").select("h", "node", "row_id", "n").distinct())
     wanted = spark.sparkContext.broadcast(_bitmap(entries.select(F.col("row_id").alias("h")).distinct()))
     segments = common.stored(own.mapInArrow(_segments(n, frequent, wanted), "node long, fragment int, segment array<long>"))
