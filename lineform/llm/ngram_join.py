@@ -71,9 +71,9 @@ def _bits_of(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _bitmap(hashes: DataFrame) -> np.ndarray:
     """A bitmap with the bits of a column h of hashes; at most BITS / 32 rows reach the driver."""
     words = hashes.selectExpr(f"shiftright(h & {BITS - 1}, 5) AS word", "shiftleft(1L, CAST(h & 31 AS INT)) AS bit")
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 32, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    out[rows["word"].to_numpy().astype(np.int64)] = rows["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
 
