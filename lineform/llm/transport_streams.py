@@ -218,7 +218,7 @@ def _appended(df: DataFrame, column: str, new: str, make, kind: pa.DataType, ddl
             made = pa.array([make(x) for x in batch.column(at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, new])
 
-    return df.mapInArrow(run, StructType(list(df.schema.fields)).add(new, ddl))
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{new}` {ddl}").fields]))
 
 
 def mux(df: DataFrame, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
