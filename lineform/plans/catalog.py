@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lineform.plans import analytics, wire
+from lineform.plans import analytics, costs, wire
 
-MODULES = (wire, analytics)
+MODULES = (wire, analytics, costs)
 
 
 def queries() -> dict:
