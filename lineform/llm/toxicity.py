@@ -3,9 +3,10 @@
 The lexicon is a trie of whole words and word beginnings, learned from labelled rows beside a short given list.
 A Levenshtein automaton of one edit is intersected with the trie; the product automaton is made deterministic
 step by step, as words are read, and kept. A word's hit is a term and how it was reached: exact, or one letter
-substituted, inserted, dropped, or replaced by a sign. A window of words around each hit tells quotation
-(quotation marks, words of reporting) from abuse (second person, exclamation). A logistic model weighs hits,
-contexts and their density.
+substituted, inserted, dropped, or replaced by a sign, at any place of a term or beginning of EDITED letters or
+more. A window of words around each hit tells quotation (quotation marks, words of reporting) from abuse (second
+person, exclamation). A logistic model weighs hits, contexts and their density; an edit of a term that the
+labelled rows don't have weighs a share of what the term weighs, or of what its kind of edit weighs.
 
 Defined cases: a null or empty text has no hits and gets the score of such texts; without labelled rows of both
 kinds the given list and fixed weights are used; repeated rows are scored alike.
@@ -27,6 +28,10 @@ from lineform.llm import common, labelled
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 SAMPLE_ROWS = 12_000
 MAX_TERMS = 400
+#: Letters from which a term may be reached by an edit.
+EDITED = 4
+#: Share of a term's (or else of its kind's) log odds that an edit weighs that no labelled row has.
+UNSEEN_SHARE = 0.5
 WINDOW = 6
 GIVEN = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "bastard", "pig", "dumb")
 SIGNS = frozenset("0134578@$!*|€")
@@ -35,6 +40,7 @@ REPORTING = frozenset("said says quote quoted quotes wrote writes called word wo
 ADDRESS = frozenset("you your yours you're ur du dein dich ihr toi ton vous tu tus usted".split())
 QUOTES = "\"'“”„«»‘’"
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”„«»‘’¿¡…–—"
+NO_SIGNS = "".join(c for c in PUNCTUATION if c not in SIGNS)
 N_FEATURES = 12
 
 SCORES = "doc_id long, score double, hits array<struct<term:string,kind:string,word:int,quoted:boolean>>"
@@ -63,7 +69,6 @@ class Lexicon:
                 self.opens[at] = t
             else:
                 self.ends[at] = t
-        self.depth = self._depths()
         # a state of the product is a set of (node, how it was reached, what has matched already)
         self.states: list[tuple] = [frozenset(self._close({(0, None, None)}))]
         self.number = {self.states[0]: 0}
@@ -71,16 +76,9 @@ class Lexicon:
         self.found: list[tuple | None] = [None]
         self.seen: dict[str, tuple | None] = {}
 
-    def _depths(self) -> list[int]:
-        depth = [0] * len(self.children)
-        for i, own in enumerate(self.children):
-            for k in own.values():
-                depth[k] = depth[i] + 1
-        return depth
-
     def _close(self, states: set) -> set:
-        """Adds what dropping one of the term's letters reaches. Edits start after a term's first two letters, or short words would match anything."""
-        more = {(k, "dropped", m) for n, how, m in states if how is None and self.depth[n] >= 2 for k in self.children[n].values()}
+        """Adds what dropping one of the term's letters reaches."""
+        more = {(k, "dropped", m) for n, how, m in states if how is None and m is None for k in self.children[n].values()}
         return states | more
 
     def _step(self, state: frozenset, c: str) -> frozenset:
@@ -92,22 +90,22 @@ class Lexicon:
             k = self.children[n].get(c)
             if k is not None:
                 out.add((k, how, None))
-            if how is None and self.depth[n] >= 1:
+            if how is None:
                 other = "sign" if c in SIGNS else "substituted"
                 out.update((x, other, None) for y, x in self.children[n].items() if y != c)
-                if self.depth[n] >= 2:
-                    out.add((n, "inserted", None))
+                out.add((n, "inserted", None))
         out = self._close(out)
-        opened = {(n, how, self.opens[n]) for n, how, m in out if m is None and how is None and self.opens[n] is not None}
+        opened = {(n, how, self.opens[n]) for n, how, m in out if m is None and self.opens[n] is not None and (how is None or len(self.opens[n]) > EDITED)}
         return frozenset(out | opened)
 
     def _result(self, state: frozenset) -> tuple | None:
         """The best match of a word that ends here: an exact one before an edited one, a whole word before a beginning."""
+        after = 2 + len(KINDS)
         own = []
         for n, how, m in state:
             if m is not None:
-                own.append((1, m, "exact"))
-            elif self.ends[n] is not None and (how is None or len(self.ends[n]) >= 4):
+                own.append((1 if how is None else after + KINDS.index(how), m, how or "exact"))
+            elif self.ends[n] is not None and (how is None or len(self.ends[n]) >= EDITED):
                 own.append((0 if how is None else 2 + KINDS.index(how), self.ends[n], how or "exact"))
         return min(own)[1:] if own else None
 
@@ -150,6 +148,19 @@ def plain(words: list[str]) -> list[str]:
     return [w.strip(PUNCTUATION) for w in words]
 
 
+def match_of(word: str, lexicon: Lexicon) -> tuple | None:
+    """A word's match without its punctuation, or with the signs at its edges where one of them stands for a letter."""
+    bare = word.strip(PUNCTUATION)
+    if not bare:
+        return None
+    found = lexicon.match(bare)
+    kept = word.strip(NO_SIGNS)
+    if kept == bare or (found is not None and found[1] == "exact"):
+        return found
+    signed = [lexicon.match(w) for w in (kept.rstrip(PUNCTUATION), kept.lstrip(PUNCTUATION), kept)]
+    return next((m for m in signed if m is not None and m[1] == "sign"), found or next(filter(None, signed), None))
+
+
 def hits_of(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[str, str, int, bool, bool]]]:
     """Number of words, and the hits: term, kind, word position, quoted, addressed."""
     words = text.lower().split()
@@ -160,8 +171,7 @@ def hits_of(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[str, str, int,
             seen.clear()
             new = set(words)
         for w in new:
-            p = w.strip(PUNCTUATION)
-            seen[w] = (lexicon.match(p) or lexicon.match(w.strip(QUOTES + ".,;:?"))) if p else None
+            seen[w] = match_of(w, lexicon)
     found = []
     for i, m in enumerate(map(seen.__getitem__, words)):
         if m is not None:
@@ -180,12 +190,21 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(N_FEATURES))
     weights: np.ndarray = field(default_factory=lambda: np.array([2.0, 1.0, 0.5, -1.0, 0.5, 0, 0, 0, 0, 0, 0, 0]))
     bias: float = -2.0
+    by_term: dict[str, float] = field(default_factory=dict)
+    by_kind: dict[str, float] = field(default_factory=dict)
+
+    def weight(self, term: str, kind: str) -> float:
+        """Log odds of a term and kind; of an edit without labelled rows a share of the term's or else of the kind's."""
+        own = self.strength.get((term, kind))
+        if own is not None:
+            return own
+        return 1.0 if kind == "exact" else UNSEEN_SHARE * self.by_term.get(term, self.by_kind.get(kind, 1.0))
 
     def features(self, text: str) -> tuple[np.ndarray, list]:
         n, found = hits_of(text, self.lexicon)
         x = np.zeros(N_FEATURES)
         if found:
-            each = [self.strength.get((t, k), 1.0 if k == "exact" else 0.0) for t, k, *_ in found]
+            each = [self.weight(t, k) for t, k, *_ in found]
             abuse = [s for s, (_, _, _, quoted, _) in zip(each, found, strict=True) if not quoted]
             x[0] = max(each)
             x[1] = np.log1p(max(0.0, sum(abuse)))
@@ -272,17 +291,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         return Model(lexicon, {})
     toxic, seen = Counter(), Counter()
     for r in hits:
-        own = set(r.hits)
+        pairs = [tuple(k.split("\t")) for k in r.hits]
+        own = {*pairs, *((t, None) for t, k in pairs if k == "exact"), *((None, k) for _, k in pairs)}
         seen.update(own)
         if r.label:
             toxic.update(own)
     rate = y.mean()
     odds = lambda k: np.log((toxic[k] + rate) / (seen[k] - toxic[k] + 1 - rate)) - np.log(rate / (1 - rate))
-    strength = {tuple(k.split("\t")): float(max(0.0, odds(k))) for k in seen}
-    model = Model(lexicon, strength)
+    known = {k: float(max(0.0, odds(k))) for k in seen}
+    model = Model(lexicon, {k: v for k, v in known.items() if None not in k})
+    model.by_term, model.by_kind = {t: v for (t, k), v in known.items() if k is None}, {k: v for (t, k), v in known.items() if t is None}
     got = rows.select("doc_id", "text", "label").mapInArrow(_feature_rows(model), "label int, x array<double>").collect()
     x, y = np.array([r.x for r in got]), np.array([r.label > 0 for r in got], float)
-    model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    model.mean, model.scale = x.mean(0), np.where(x.std(0) > 1e-6, x.std(0), 1.0)
     model.weights, model.bias = logistic((x - model.mean) / model.scale, y)
     return model
 
