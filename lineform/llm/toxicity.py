@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from lineform.llm import common, labelled
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 SAMPLE_ROWS = 12_000
 MAX_TERMS = 400
+#: Rows of counts in a batch.
+PART_ROWS = 50_000
+#: Toxic and clean rows that a part's odds start from.
+ODDS_PRIOR = (0.5, 4.5)
 #: Letters from which a term may be reached by an edit.
 EDITED = 4
 #: Share of a term's (or else of its kind's) log odds that an edit weighs that no labelled row has.
@@ -256,28 +261,28 @@ def _count_parts(batches):
             all_docs.update(own)
             if label:
                 toxic.update(own)
-    rows = [(p, toxic[p], all_docs[p]) for p in all_docs if toxic[p] >= 1]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["part", "n_toxic", "n_docs"])
-    # parts of clean documents alone can't be terms; where a part is toxic in another task, its clean count here is sent too
-    rest = [(p, 0, n) for p, n in all_docs.items() if not toxic[p] and n > 1]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rest], pa.string()), pa.array([r[1] for r in rest], pa.int64()), pa.array([r[2] for r in rest], pa.int64())], names=["part", "n_toxic", "n_docs"])
+    # all clean counts are sent, whatever the partition: a part may be toxic in another task; the sample is bounded
+    rows = iter(all_docs.items())
+    while own := list(islice(rows, PART_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.string()), pa.array([toxic[p] for p, _ in own], pa.int64()), pa.array([n for _, n in own], pa.int64())], names=["part", "n_toxic", "n_docs"])
 
 
 def learn_terms(rows: DataFrame, support: int = 5, purity: float = 0.6) -> list[str]:
-    """Words and beginnings of words that toxic rows have and others hardly do, the most telling MAX_TERMS."""
+    """Words and beginnings of words that toxic rows have and others hardly do, the MAX_TERMS of the highest log odds."""
     counted = rows.select("doc_id", "text", "label").mapInArrow(_count_parts, "part string, n_toxic long, n_docs long").groupBy("part").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_docs").alias("n_docs"))
     telling = counted.where((F.col("n_toxic") >= support) & (F.col("n_toxic") >= purity * F.col("n_docs")))
-    ranked = telling.orderBy(F.col("n_toxic").desc(), F.length("part"), "part").limit(20 * MAX_TERMS).collect()
-    terms: list[str] = []
-    heads: dict[str, int] = {}
+    odds = F.log((F.col("n_toxic") + ODDS_PRIOR[0]) / (F.col("n_docs") - F.col("n_toxic") + ODDS_PRIOR[1]))
+    ranked = telling.withColumn("odds", odds).orderBy(F.col("odds").desc(), F.length("part"), "part").limit(20 * MAX_TERMS).collect()
+    terms: list[tuple[float, str]] = []
+    heads: set[str] = set()
     for r in sorted(ranked, key=lambda r: (len(r.part.rstrip("*")), not r.part.endswith("*"), r.part)):
         bare = r.part.rstrip("*")
         above = next((bare[:n] for n in range(4, len(bare) + 1) if bare[:n] in heads), None)
         if above is not None:
             continue
         if r.part.endswith("*"):
-            heads[bare] = r.n_toxic
-        terms.append((r.n_toxic, r.part))
+            heads.add(bare)
+        terms.append((r.odds, r.part))
     return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))[:MAX_TERMS]]
 
 

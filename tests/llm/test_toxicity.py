@@ -68,3 +68,18 @@ def test_unseen_misspellings_count(spark, labelled_rows):
         assert found and min(x[0], x[1], x[5], x[6]) > 0, (w, x)
         assert model.score(f"the river {w} runs past quiet fields")[0] > 2 * clean, w
     assert np.isfinite(model.weights).all() and model.score("the river blockhead runs past")[0] > 0.5
+
+
+def test_terms_do_not_depend_on_partitions(spark):
+    toxic = [(i, "blockhead", 1) for i in range(8)] + [(i, "table", 1) for i in range(8, 14)]
+    clean = [(i, "table" if i % 2 else f"calm{i}", 0) for i in range(14, 44)]
+    rows = spark.createDataFrame(toxic + clean, "doc_id long, text string, label int")
+    one = T.learn_terms(rows.coalesce(1))
+    assert T.learn_terms(rows.repartition(44, "doc_id")) == T.learn_terms(rows.repartition(5)) == one
+    assert one == ["bloc*"]
+
+
+def test_terms_are_ranked_by_odds(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_TERMS", 1)
+    rows = [(i, "common", 1) for i in range(30)] + [(i, "common", 0) for i in range(30, 48)] + [(i, "rarer", 1) for i in range(48, 60)]
+    assert T.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, label int")) == ["rare*"]
