@@ -5,19 +5,21 @@ it; at every word the automaton knows the longest run of words ending there that
 WINDOW words or more (or a whole shorter item) is hit. Words that occur in no item reset the run, so only
 stretches of known words that are long enough are streamed at all.
 
-The test set is read in blocks of a bounded number of words. Each block's automaton is broadcast by itself,
-and the blocks' hits are united by document.
+The test set is read in blocks of a bounded number of words. Where there are several, each block's automaton is
+built, broadcast, applied and released before the next one, and the blocks' hits are united by row.
 
-Defined cases: a null or empty text has no words and no hits; an item without words never occurs; items with
+Defined cases: a null or empty text has no words and no hits; rows are handled one by one, repeated and null ids included; an item without words never occurs; items with
 equal texts all count; items of fewer than WINDOW words are one window.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,21 +150,23 @@ class Automaton:
         return hits, items
 
 
-def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> list[Automaton]:
-    """One automaton for each block of test items; a block is all that the driver holds of the items' words."""
-    built, block, held = [], [], 0
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Automaton, bool]]:
+    """One automaton after the other for each block of test items, and whether it is the last; a block is all that the driver holds of the items' words."""
+    block, held = [], 0
     rows = items.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).toLocalIterator()
     for item, text in rows:
         words = words_of((text or "").encode())
         if block and held + len(words) > block_words:
-            built.append(Automaton(block, window))
+            yield Automaton(block, window), False
             block, held = [], 0
         block.append((str(item), words))
         held += len(words)
-    return [*built, Automaton(block, window)]
+    yield Automaton(block, window), True
 
 
 def _find_rows(shared):
+    """Hits of rows of doc_id, text and, at the end, columns that stay as they are."""
+
     def run(batches):
         automaton = shared.value
         for batch in common.sliced(batches):
@@ -173,22 +177,15 @@ def _find_rows(shared):
                 sizes.append(len(words))
                 hits.append([{"start": s, "end": e} for s, e in found])
                 items.append(sorted(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(_HIT)), pa.array(items, pa.list_(pa.string()))], schema=_ARROW)
+            own = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(_HIT)), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=[*_ARROW.names, *batch.schema.names[2:]])
 
     return run
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, hits (maximal intervals of word positions), items (occurring ids, sorted as strings)."""
-    context = docs.sparkSession.sparkContext
-    own = common.id_and_text(docs, id_col, text_col)
-    blocks = [own.mapInArrow(_find_rows(context.broadcast(a)), HITS) for a in automata(items, item_id_col, item_text_col, window, block_words)]
-    if len(blocks) == 1:
-        return blocks[0]
-    all_hits = blocks[0]
-    for b in blocks[1:]:
-        all_hits = all_hits.unionAll(b)
-    merged = lambda hits: F.aggregate(
+def _merged(hits):
+    """United intervals of an array of arrays of intervals."""
+    return F.aggregate(
         F.array_sort(F.flatten(hits)),
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda done, h: F.when(
@@ -196,41 +193,85 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], h["end"]).alias("end")))),
         ).otherwise(F.concat(done, F.array(h))),
     )
-    return all_hits.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), merged(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
-def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without their hit spans; rows of which more than max_coverage of the words is hit go. All other columns stay. Blocks are applied one after the other to the words as they were."""
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, item_id_col, item_text_col, window, block_words)]
-    at = docs.columns.index(text_col)
+def _by_blocks(rows: DataFrame, first: Broadcast, more: Iterator[tuple[Automaton, bool]]) -> tuple[DataFrame, DataFrame]:
+    """Of stored doc_id, text and row: doc_id, n_words and row of every row, and row, hits and items of rows with hits in any block. Blocks are broadcast, applied and released one by one."""
+    context = rows.sparkSession.sparkContext
+    hit = F.size("items") > 0
+    sizes = common.stored(rows.mapInArrow(_find_rows(first), f"{HITS}, row long"))
+    first.destroy()
+    found = sizes.where(hit)
+    for automaton, _ in more:
+        shared = context.broadcast(automaton)
+        del automaton
+        found = found.unionAll(common.stored(rows.mapInArrow(_find_rows(shared), f"{HITS}, row long").where(hit)))
+        shared.destroy()
+    united = found.groupBy("row").agg(_merged(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return sizes.select("doc_id", "n_words", "row"), united
 
-    def clean(text: str | None) -> tuple[bool, str | None]:
-        words = words_of((text or "").encode())
-        hit = np.zeros(len(words), bool)
-        for b in shared:
-            for s, e in b.value.find(words)[0]:
-                hit[s:e] = True
-        if not hit.any():
-            return True, text
-        if hit.mean() > max_coverage:
-            return False, None
-        out, last = [], 0
-        places = [m.span() for m in _WORD.finditer(text)]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).reshape(-1, 2)
-        for s, e in edges:
-            out.append(text[last : places[s][0]])
-            last = places[e - 1][1]
-        return True, "".join(out) + text[last:]
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, hits (maximal intervals of word positions), items (occurring ids, sorted as strings) of every row."""
+    own = common.id_and_text(docs, id_col, text_col)
+    blocks = automata(items, item_id_col, item_text_col, window, block_words)
+    automaton, last = next(blocks)
+    first = docs.sparkSession.sparkContext.broadcast(automaton)
+    del automaton
+    if last:
+        return own.mapInArrow(_find_rows(first), HITS)
+    sizes, united = _by_blocks(common.stored(own.withColumn("row", F.monotonically_increasing_id())), first, blocks)
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    return sizes.join(united, "row", "left").select("doc_id", "n_words", none("hits", "array<struct<start:int,end:int>>"), none("items", "array<string>"))
+
+
+def _cut(text: str | None, hits: list[tuple[int, int]], max_coverage: float) -> tuple[bool, str | None]:
+    """Whether a text stays, and the text without its hits."""
+    if not hits:
+        return True, text
+    places = [m.span() for m in _WORD.finditer(text)]
+    if sum(e - s for s, e in hits) > max_coverage * len(places):
+        return False, None
+    out, last = [], 0
+    for s, e in hits:
+        out.append(text[last : places[s][0]])
+        last = places[e - 1][1]
+    return True, "".join(out) + text[last:]
+
+
+def _clean_rows(at: int, width: int, max_coverage: float, shared=None):
+    """Cuts hits, found by the automaton or given as the column after ``width`` others, from the texts of column ``at``."""
 
     def run(batches):
         for batch in common.sliced(batches, at):
-            done = [clean(t) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            if shared is not None:
+                hits = [shared.value.find(words_of((t or "").encode()))[0] for t in texts]
+            else:
+                hits = [[(h["start"], h["end"]) for h in own or ()] for own in batch.column(width).to_pylist()]
+            done = [_cut(t, h, max_coverage) for t, h in zip(texts, hits, strict=True)]
             kept = [i for i, (keep, _) in enumerate(done) if keep]
             rows = batch.take(pa.array(kept, pa.int64()))
             new = pa.array([done[i][1] for i in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(rows.columns)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(rows.columns[:width])], names=batch.schema.names[:width])
+
+    return run
+
 
-    return docs.mapInArrow(run, docs.schema)
+def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without their hit spans; rows of which more than max_coverage of the words is hit go. All other columns stay. All blocks are applied to the words as they were."""
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    blocks = automata(items, item_id_col, item_text_col, window, block_words)
+    automaton, last = next(blocks)
+    first = docs.sparkSession.sparkContext.broadcast(automaton)
+    del automaton
+    if last:
+        return docs.mapInArrow(_clean_rows(at, width, max_coverage, first), docs.schema)
+    rows = common.stored(docs.withColumn("_row_of_docs", F.monotonically_increasing_id()))
+    _, united = _by_blocks(rows.select(F.col("_row_of_docs").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("_row_of_docs").alias("row")), first, blocks)
+    hits = united.select(F.col("row").alias("_row_of_docs"), F.col("hits").alias("_hits_of_docs"))
+    joined = rows.join(hits, "_row_of_docs", "left").select(*(f"`{c}`" for c in docs.columns), "_hits_of_docs")
+    return joined.mapInArrow(_clean_rows(at, width, max_coverage), docs.schema)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

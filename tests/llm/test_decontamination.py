@@ -1,5 +1,6 @@
 import random
 import re
+import weakref
 
 from lineform.llm import decontamination as D
 
@@ -52,3 +53,33 @@ def test_cleaned(spark):
     assert out[1].startswith("Keep, this. ! And more")
     assert D.cleaned(docs.limit(0), bench).count() == 0
     assert D.find(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
+
+
+def test_blocks_keep_rows_of_repeated_and_null_ids(spark):
+    items = [*enumerate(made(12, 1)), (12, "p q r s t u v w x y")]
+    rows = [(i % 7 if i % 3 else None, t) for i, t in enumerate([*made(60, 2), *made(10, 3, "abc"), None, "", "Z p q r s t u v w x y " + "fine " * 30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, D.find(docs, bench, block_words=n).collect())) for n in (10**6, 30))
+    assert len(many) == len(rows) and one == many
+    one, many = (sorted(map(str, D.cleaned(docs, bench, block_words=n).collect())) for n in (10**6, 30))
+    assert one == many and any("Z  fine" in t for t in many)
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(D.Automaton):
+        def __init__(self, *a):
+            most.append(len(alive))
+            super().__init__(*a)
+            alive.add(self)
+
+        def __reduce__(self):
+            return (dict, ())
+
+    monkeypatch.setattr(D, "Automaton", Counted)
+    bench = spark.createDataFrame([*enumerate(made(12, 1))], "item_id long, text string")
+    for a, _ in D.automata(bench, "item_id", "text", 10, 10):
+        del a
+    assert len(most) > 2 and max(most) == 0
