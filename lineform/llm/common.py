@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -49,9 +51,11 @@ def bytes_of(column: pa.Array) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one is set only where none is configured, as in tests."""
+    """The folder that the cluster shares; a local one is set only where none is configured and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors and the driver share")
         found = tempfile.mkdtemp(prefix="lineform-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -71,9 +75,17 @@ def lit_crc_mod(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a stored table when the process ends; a session that has ended by then leaves it to the folder's owner."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder; columns that a later step doesn't ask for aren't read."""
+    """Cuts the lineage with a table in the shared folder; columns that a later step doesn't ask for aren't read. Results read it lazily, so it stays until the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lineform-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

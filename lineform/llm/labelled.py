@@ -18,10 +18,12 @@ def held_out(id_column: Column, folds: int = FOLDS) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = FOLDS) -> DataFrame:
     """doc_id, text, label of at most ``most`` labelled rows that are not held out: those whose ids hash lowest.
 
-    The sampled ids (at most ``most``) are broadcast to a scan of the documents; the sample is written to the
-    checkpoint folder, so that later passes read it alone. Of repeated ids with different labels the lowest counts.
+    The sampled ids (at most ``most``) are broadcast to a scan of the documents; the sample is spread over the shuffle
+    partitions and written to the checkpoint folder, so that later passes read it alone, in parallel. Of repeated
+    ids the least label and the least text count, once.
     """
     own = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     own = own.where(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return common.cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * most))
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return common.cut(one.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"))

@@ -7,7 +7,9 @@ text, in blocks, the exact cosine with each of them is computed, and the most si
 labels, weighted by similarity.
 
 Defined cases: a null or empty text is scored like any other, by its size term; without labelled rows the
-score is 0.5; equal texts get equal scores; labels of a repeated id count once, the lowest.
+score is 0.5; all voters that tie with the last of the nearest vote too; equal texts get equal scores, to six
+digits; texts of any length are counted whole, one at a time; rows are scored one by one, whatever their ids; of a
+repeated id the least label and text are learned from, once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ TERMS = GRAMS + 16 + 12
 #: A text's weight grows with this power of its similarity.
 SHARPNESS = 8
 KEEP = 0.3
+#: Cosines that differ less are ties.
+TIE = 1e-5
 BLOCK = 512
 
 _CLASSES = np.zeros(256, np.uint8)
@@ -87,9 +91,11 @@ class Space:
         k = min(neighbours, len(self.labels))
         for at in range(0, len(counts), BLOCK):
             cosine = self.place(counts[at : at + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS
-            out[at : at + BLOCK] = (weight * self.labels[near]).sum(1) / weight.sum(1)
+            least = np.partition(cosine, -k, axis=1)[:, -k, None] - TIE
+            row, voter = np.nonzero(cosine >= least)  # all that tie with the last neighbour vote
+            weight = np.maximum(cosine[row, voter].astype(np.float64), 1e-3) ** SHARPNESS
+            n = len(cosine)
+            out[at : at + BLOCK] = np.bincount(row, weight * self.labels[voter], n) / np.bincount(row, weight, n)
         return out
 
 
@@ -112,7 +118,7 @@ def _score_rows(shared):
     def run(batches):
         space = shared.value
         for batch in common.sliced(batches):
-            score = np.full(batch.num_rows, 0.5) if space is None else space.score(term_counts(common.bytes_of(batch.column(1))))
+            score = np.full(batch.num_rows, 0.5) if space is None else np.round(space.score(term_counts(common.bytes_of(batch.column(1)))), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.clip(score, 0, 1))], schema=_SCORES)
 
     return run

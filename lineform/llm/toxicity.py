@@ -9,7 +9,9 @@ person, exclamation). A logistic model weighs hits, contexts and their density;
 labelled rows don't have weighs a share of what the term weighs, or of what its kind of edit weighs.
 
 Defined cases: a null or empty text has no hits and gets the score of such texts; without labelled rows of both
-kinds the given list and fixed weights are used; repeated rows are scored alike.
+kinds the given list and fixed weights are used; repeated rows are scored alike, whatever their ids; texts of any
+length are matched whole; of several terms that match a word the one of the best kind counts, then the first by
+letters; other columns are not read. MOST_TERMS bounds the learned lexicon, a model parameter like SAMPLE_ROWS.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from lineform.llm import common, labelled
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 SAMPLE_ROWS = 12_000
-MAX_TERMS = 400
+#: Learned terms, at most: those of the highest log odds.
+MOST_TERMS = 400
 #: Rows of counts in a batch.
 PART_ROWS = 50_000
 #: Toxic and clean rows that a part's odds start from.
@@ -267,12 +270,12 @@ def _count_parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.string()), pa.array([toxic[p] for p, _ in own], pa.int64()), pa.array([n for _, n in own], pa.int64())], names=["part", "n_toxic", "n_docs"])
 
 
-def learn_terms(rows: DataFrame, support: int = 5, purity: float = 0.6) -> list[str]:
-    """Words and beginnings of words that toxic rows have and others hardly do, the MAX_TERMS of the highest log odds."""
+def learn_terms(rows: DataFrame, support: int = 5, purity: float = 0.6, most_parts: int = 20 * MOST_TERMS) -> list[str]:
+    """Words and beginnings of words that toxic rows have and others hardly do, the MOST_TERMS of the highest log odds."""
     counted = rows.select("doc_id", "text", "label").mapInArrow(_count_parts, "part string, n_toxic long, n_docs long").groupBy("part").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_docs").alias("n_docs"))
     telling = counted.where((F.col("n_toxic") >= support) & (F.col("n_toxic") >= purity * F.col("n_docs")))
     odds = F.log((F.col("n_toxic") + ODDS_PRIOR[0]) / (F.col("n_docs") - F.col("n_toxic") + ODDS_PRIOR[1]))
-    ranked = telling.withColumn("odds", odds).orderBy(F.col("odds").desc(), F.length("part"), "part").limit(20 * MAX_TERMS).collect()
+    ranked = telling.withColumn("odds", odds).orderBy(F.col("odds").desc(), F.length("part"), "part").limit(most_parts).collect()
     terms: list[tuple[float, str]] = []
     heads: set[str] = set()
     for r in sorted(ranked, key=lambda r: (len(r.part.rstrip("*")), not r.part.endswith("*"), r.part)):
@@ -283,7 +286,7 @@ def learn_terms(rows: DataFrame, support: int = 5, purity: float = 0.6) -> list[
         if r.part.endswith("*"):
             heads.add(bare)
         terms.append((r.odds, r.part))
-    return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))[:MAX_TERMS]]
+    return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))[:MOST_TERMS]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE_ROWS) -> Model:
@@ -346,7 +349,7 @@ def _score_rows(shared):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) and hits of every row. No shuffle; the model has at most MAX_TERMS learned terms."""
+    """doc_id, score (0 to 1) and hits of every row. No shuffle; the model has at most MOST_TERMS learned terms."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return common.id_and_text(docs, id_col, text_col).mapInArrow(_score_rows(shared), SCORES)
 

@@ -80,6 +80,6 @@ def test_terms_do_not_depend_on_partitions(spark):
 
 
 def test_terms_are_ranked_by_odds(spark, monkeypatch):
-    monkeypatch.setattr(T, "MAX_TERMS", 1)
+    monkeypatch.setattr(T, "MOST_TERMS", 1)
     rows = [(i, "common", 1) for i in range(30)] + [(i, "common", 0) for i in range(30, 48)] + [(i, "rarer", 1) for i in range(48, 60)]
     assert T.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, label int")) == ["rare*"]
