@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import types as T
 
@@ -54,11 +56,25 @@ class Field:
             raise ContractError("E20", f"{self.name}: bad marker rule")
         if self.type == "tuple" and (not self.parts or any(p.type not in SCALARS for p in self.parts)):
             raise ContractError("E20", f"{self.name}: a tuple needs scalar parts")
-        if self.unique and self.type not in SCALARS:
-            raise ContractError("E20", f"{self.name}: only scalars can be unique")
-        if self.low is not None and self.high is not None and self.low > self.high:
+        if self.unique and self.type == "tuple":
+            raise ContractError("E20", f"{self.name}: a tuple can't be unique")
+        bounds = [self._bound(x) for x in (self.low, self.high) if x is not None]
+        if len(bounds) == 2 and bounds[0] > bounds[1]:
             raise ContractError("E20", f"{self.name}: empty range")
 
+    def _bound(self, x):
+        """A bound in an order of its type; E20 if it isn't of that type."""
+        try:
+            if self.type == "date":
+                return datetime.date.fromisoformat(str(x))
+            if self.type == "decimal":
+                return Decimal(str(x))
+            if self.type in ("int", "float", "list", "mlist"):
+                return float(x)
+        except (ValueError, ArithmeticError):
+            pass
+        raise ContractError("E20", f"{self.name}: bad bound {x!r}")
+
 
 @dataclass(frozen=True)
 class Contract:
@@ -70,7 +86,6 @@ class Contract:
     separator: str = ","
     records_key: str = "items"
     parent: str | None = None
-    _: object = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", self.prefix):

@@ -1,28 +1,58 @@
 """Splitting, escaping and trimming as column expressions.
 
 Every legal escape becomes a private-use character of its own, so that later splits see only delimiters that
-are not escaped; ``restored`` turns these into the characters that they stand for. A text that has one of these
-characters itself (U+E000 to U+E006) isn't supported; ``has_reserved`` finds it.
+are not escaped; ``restored`` turns these into the characters that they stand for. Where a text has such a
+character itself, it is put as a pair first, and comes back the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BACKSLASH, PIPE, COMMA, SEPARATOR, STAR, QUOTE, NEWLINE = (chr(0xE000 + i) for i in range(7))
+BACKSLASH, PIPE, COMMA, SEPARATOR, STAR, QUOTE, NEWLINE, PAIR = RESERVED = tuple(chr(0xE000 + i) for i in range(8))
+_SECOND = tuple(chr(0xF000 + i) for i in range(8))
 #: White space of Unicode, for trimming.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
 
 
 def has_reserved(text: Column) -> Column:
-    return text.rlike(f"[{BACKSLASH}-{NEWLINE}]")
+    return text.rlike(f"[{BACKSLASH}-{PAIR}]")
+
+
+def _paired(text: Column) -> Column:
+    pairs = F.replace(text, F.lit(PAIR), F.lit(PAIR + _SECOND[7]))
+    for c, second in zip(RESERVED[:7], _SECOND, strict=False):
+        pairs = F.replace(pairs, F.lit(c), F.lit(PAIR + second))
+    return F.when(has_reserved(text), pairs).otherwise(text)
+
+
+def _unpaired(text: Column) -> Column:
+    plain = text
+    for c, second in zip(RESERVED, _SECOND, strict=True):
+        plain = F.replace(plain, F.lit(PAIR + second), F.lit(c))
+    return F.when(text.contains(PAIR), plain).otherwise(text)
 
 
 def valid_escapes(line: Column, separator: str = ",") -> Column:
     """Whether every backslash starts a legal escape."""
-    return line.rlike(r"^(?:[^\\]++|\\[|,*" + _quoted(separator) + r'\\"n])*+$')
+    return ~line.contains("\\") | line.rlike(_legal(separator) + r"\z")
+
+
+def dangling(line: Column, separator: str = ",") -> Column:
+    """Whether the only fault of a line's escapes is a backslash at its end."""
+    return line.endswith("\\") & line.rlike(_legal(separator) + r"\\\z")
+
+
+def _legal(separator: str) -> str:
+    return r"\A(?:[^\\]++|\\[|,*" + _quoted(separator) + r'\\"n])*+'
 
 
 def _quoted(c: str) -> str:
@@ -33,21 +63,28 @@ def shielded(line: Column, separator: str = ",") -> Column:
     pairs = [("\\\\", BACKSLASH), ("\\|", PIPE), ("\\,", COMMA)]
     if separator != ",":
         pairs.append(("\\" + separator, SEPARATOR))
+    plain = _paired(line)
+    done = plain
     for old, new in (*pairs, ("\\*", STAR), ('\\"', QUOTE), ("\\n", NEWLINE)):
-        line = F.replace(line, F.lit(old), F.lit(new))
-    return line
+        done = F.replace(done, F.lit(old), F.lit(new))
+    return F.when(line.contains("\\"), done).otherwise(plain)
 
 
 def restored(text: Column, separator: str = ",") -> Column:
-    return F.translate(text, BACKSLASH + PIPE + COMMA + SEPARATOR + STAR + QUOTE + NEWLINE, "\\|," + separator + '*"\n')
+    return _unpaired(F.translate(text, BACKSLASH + PIPE + COMMA + SEPARATOR + STAR + QUOTE + NEWLINE, "\\|," + separator + '*"\n'))
+
+
+def shielded_text(text: Column) -> Column:
+    """A restored text as a cell in which nothing is a delimiter."""
+    return _paired(text)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return text.rlike(f"^{_SPACE}*$")
+    return trimmed(text) == ""
 
 
 def fields_of(shield: Column) -> Column:
@@ -55,23 +92,32 @@ def fields_of(shield: Column) -> Column:
     return F.transform(F.split(shield, r"\|", -1), trimmed)
 
 
-def elements_of(cell: Column, separator: str = ",") -> tuple[Column, Column]:
-    """The elements of a shielded list cell as structs (text, marked), and whether the quotes are right."""
+def elements_of(cell: Column, separator: str = ",") -> Column:
+    """struct(elements, whole): the elements of a shielded list cell as structs (text, marked), and whether the quotes are right."""
     sep = _quoted(separator)
-    pattern = sep + r'(\s*"(?:[^"]|"")*+"\s*\*?\s*(?=' + sep + r"|$)|[^" + sep + r'"][^' + sep + r"]*|(?=" + sep + r"|$))"
-    led = F.concat(F.lit(separator), cell)
-    raw = F.regexp_extract_all(led, F.lit(pattern), F.lit(1))
-    whole = F.length(F.array_join(raw, "")) + F.size(raw) == F.length(led)
+    pattern = sep + r'(\s*"(?:[^"]|"")*+"\s*\*?\s*(?=' + sep + r"|\z)|[^" + sep + r'"][^' + sep + r"]*|(?=" + sep + r"|\z))"
 
     def element(x: Column) -> Column:
-        text = trimmed(x)
-        marked = text.endswith("*")
-        bare = F.when(marked, trimmed(F.regexp_replace(text, r"\*$", ""))).otherwise(text)
-        quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) >= 2)
-        inner = F.replace(F.regexp_replace(F.regexp_replace(bare, '^"', ""), '"$', ""), F.lit('""'), F.lit('"'))
-        return F.struct(restored(F.when(quoted, inner).otherwise(bare), separator).alias("text"), marked.alias("marked"))
-
-    return F.transform(raw, element), whole
+        def unmarked(text: Column) -> Column:
+            marked = text.endswith("*")
+            return F.struct(F.when(marked, trimmed(F.substring(text, F.lit(1), F.length(text) - 1))).otherwise(text).alias("bare"), marked.alias("marked"))
+
+        def opened(e: Column) -> Column:
+            bare = e["bare"]
+            quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) >= 2)
+            inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
+            starred = quoted & inner.endswith("*")  # a marker just before the closing quote
+            inner = F.when(starred, F.substring(inner, F.lit(1), F.length(inner) - 1)).otherwise(inner)
+            return F.struct(restored(F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(bare), separator).alias("text"), (e["marked"] | starred).alias("marked"))
+
+        return bound(unmarked(trimmed(x)), opened)
+
+    def quoted_cell(c: Column) -> Column:
+        led = F.concat(F.lit(separator), c)
+        return bound(F.regexp_extract_all(led, F.lit(pattern), F.lit(1)), lambda raw: F.struct(raw.alias("raw"), (F.length(F.array_join(raw, "")) + F.size(raw) == F.length(led)).alias("whole")))
+
+    split = F.when(cell.contains('"'), quoted_cell(cell)).otherwise(F.struct(F.split(cell, sep, -1).alias("raw"), F.lit(True).alias("whole")))
+    return bound(split, lambda r: F.struct(F.transform(r["raw"], element).alias("elements"), r["whole"].alias("whole")))
 
 
 def escaped_scalar(text: Column) -> Column:

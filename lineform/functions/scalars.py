@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineform.contract import Field
 
-INT, FLOAT, DECIMAL, DATE = r"^-?[0-9]+$", r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", r"^-?[0-9]+(\.[0-9]+)?$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+INT, FLOAT, DECIMAL, DATE = r"\A-?[0-9]+\z", r"\A-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z", r"\A-?[0-9]+(\.[0-9]+)?\z", r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
 def normal_decimal(text: Column) -> Column:

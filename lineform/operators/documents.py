@@ -1,12 +1,15 @@
 """Documents of a contract: text to typed records with errors by line, and records back to text.
 
-Decoding is one narrow pass: a document's lines are an array, the header is its first significant line, and
-every other line becomes a row with its values and an array of errors. Only uniqueness needs a window, by
-document and value. Encoding groups the records of each document once.
+Decoding is one narrow pass: the header is a document's first significant line, every other one becomes a row
+with its values and an array of errors. Each cell is split once and gives one struct. Rows carry what their header
+says, so that strict reading and diagnostics need one shuffle by document and no second parse. Uniqueness of one
+field is a window by document and value; of several, rows are folded in line order, as only accepted records claim
+their values. Encoding groups the records of each document once.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,164 +22,234 @@ ERROR = "struct<code:string,field:string>"
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the array ``lines`` of significant lines: structs (line, text), numbered as they stand."""
-    whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^﻿", "")
-    every = F.transform(F.split(whole, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_replace(x, "\r+$", "").alias("text")))
+    whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\\x{feff}", "")
+    every = F.transform(F.split(whole, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.rtrim(x, F.lit("\r")).alias("text")))
     return docs.withColumn("lines", F.filter(every, lambda x: ~L.is_blank(x["text"])))
 
 
 def detect_prefix(text: Column) -> Column:
     """The prefix that a document's first significant line names."""
-    return L.trimmed(F.regexp_extract(text, r"^(?:\s*\n)*([^|\n]*)", 1))
-
-
-def _scalar(cell: Column, f: Field) -> tuple[Column, Column]:
-    text = L.restored(cell)
-    value, ok = S.parsed(text, f, f.type)
-    code = F.when(~ok, "E10" if f.type == "enum" else "E06").when(~S.in_range(value, f), "E13") if f.type in ("int", "float", "date", "decimal") else F.when(~ok, "E10" if f.type == "enum" else "E06")
-    empty = cell == ""
-    if f.optional:
-        default = F.lit(f.default).cast(f.spark_type())
-        return F.when(empty, default).when(code.isNull(), value), F.when(~empty, code)
-    return F.when(~empty & code.isNull(), value), F.when(empty, F.lit("E06")).otherwise(code)
-
-
-def _list(cell: Column, f: Field, counts: Column | None, separator: str) -> tuple[Column, Column, Column]:
-    elements, whole = L.elements_of(cell, separator)
-    elements = F.when(cell == "", F.array().cast("array<struct<text:string,marked:boolean>>")).otherwise(elements)
-    typed = F.transform(elements, lambda e: F.struct(S.parsed(e["text"], f, f.item)[0].alias("value"), S.parsed(e["text"], f, f.item)[1].alias("ok")))
-    marks = F.filter(F.transform(elements, lambda e, i: F.when(e["marked"], i)), lambda i: i.isNotNull())
-    n, m = F.size(elements), F.size(marks)
-    size_ok = F.lit(True)
-    if f.low is not None:
-        size_ok = size_ok & (n >= f.low)
-    if f.high is not None:
-        size_ok = size_ok & (n <= f.high)
-    if counts is not None:
-        size_ok = size_ok & F.coalesce(n == counts, F.lit(True))
-    rule = {"exactly_one": m == 1, "at_least_one": m >= 1, "at_most_one": m <= 1, "any": F.lit(True)}[f.marker] if f.type == "mlist" else m == 0
-    code = F.when(~whole, "E09").when(~F.forall(typed, lambda t: t["ok"]), "E10" if f.item == "enum" else "E06").when(~size_ok, "E07").when(~rule, "E08")
-    if f.optional:
-        code = F.when(cell != "", code)
-        typed, marks = F.when(cell != "", typed), F.when(cell != "", marks)
-    value = F.when(code.isNull(), F.transform(typed, lambda t: t["value"]))
-    picked = F.get(marks, 0) if f.marker in ("exactly_one", "at_most_one") else marks
-    return value, F.when(code.isNull(), picked), code
-
-
-def _tuple(cell: Column, f: Field, separator: str) -> tuple[Column, Column]:
-    elements, whole = L.elements_of(cell, separator)
-    values, codes = [], []
-    for i, p in enumerate(f.parts):
-        text = F.coalesce(F.get(elements, i)["text"], F.lit(""))
-        value, code = _scalar(text, p)
-        values.append(value.alias(p.name))
-        codes.append(code)
-    size = F.when(cell == "", 0).otherwise(F.size(elements))
-    code = F.when(~whole, "E09").when(size != len(f.parts), "E07").when(F.exists(elements, lambda e: e["marked"]), "E08").otherwise(F.coalesce(*codes))
-    if f.optional:
-        code = F.when(cell != "", code)
-    value = F.when(code.isNull() & ((cell != "") if f.optional else F.lit(True)), F.struct(*values))
-    return value, code
-
-
-def decoded_field(cell: Column, f: Field, separator: str, counts: Column | None = None) -> tuple[list[Column], Column]:
+    whole = F.regexp_replace(text, "^\\x{feff}", "")
+    first = F.get(F.filter(F.split(whole, "\n", -1), lambda x: ~L.is_blank(x)), 0)
+    return L.restored(L.trimmed(F.substring_index(L.shielded(first), "|", 1)))
+
+
+def _scalar(cell: Column, f: Field) -> Column:
+    """struct(value, code) of a shielded cell."""
+    bad = "E10" if f.type == "enum" else "E06"
+
+    def typed(text: Column) -> Column:
+        value, ok = S.parsed(text, f, f.type)
+        return F.struct(value.alias("value"), ok.alias("ok"))
+
+    def judged(v: Column) -> Column:
+        code = F.when(~v["ok"], bad)
+        if f.type in ("int", "float", "date", "decimal") and (f.low is not None or f.high is not None):
+            code = code.when(~S.in_range(v["value"], f), "E13")
+        return F.struct(F.when(code.isNull(), v["value"]).alias("value"), code.alias("code"))
+
+    nothing = F.struct(F.lit(f.default if f.optional else None).cast(f.spark_type()).alias("value"), F.lit(None if f.optional else "E06").cast("string").alias("code"))
+    return F.when(cell == "", nothing).otherwise(L.bound(typed(L.restored(cell)), judged))
+
+
+def _list(cell: Column, f: Field, counts: Column | None, separator: str) -> Column:
+    """struct(value, picked, code) of a shielded cell; the first fault counts: quotes, size, items, marks."""
+
+    def judged(x: Column) -> Column:
+        def item(e: Column) -> Column:
+            value, ok = S.parsed(e["text"], f, f.item)
+            return F.struct(value.alias("value"), ok.alias("ok"))
+
+        def whole(v: Column) -> Column:
+            typed, marks = v["typed"], v["marks"]
+            n, m = F.size(typed), F.size(marks)
+            size_ok = F.lit(True)
+            if f.low is not None:
+                size_ok = size_ok & (n >= f.low)
+            if f.high is not None:
+                size_ok = size_ok & (n <= f.high)
+            if counts is not None:
+                size_ok = size_ok & F.coalesce(n == counts, F.lit(True))
+            rule = {"exactly_one": m == 1, "at_least_one": m >= 1, "at_most_one": m <= 1, "any": F.lit(True)}[f.marker] if f.type == "mlist" else m == 0
+            code = F.when(~x["whole"], "E09").when(~size_ok, "E07").when(~F.forall(typed, lambda t: t["ok"]), "E10" if f.item == "enum" else "E06").when(~rule, "E08")
+            picked = F.get(marks, 0) if f.marker in ("exactly_one", "at_most_one") else marks
+            return L.bound(code, lambda c: F.struct(F.when(c.isNull(), F.transform(typed, lambda t: t["value"])).alias("value"), F.when(c.isNull(), picked).alias("picked"), c.alias("code")))
+
+        marks = F.filter(F.transform(x["elements"], lambda e, i: F.when(e["marked"], i)), lambda i: i.isNotNull())
+        return L.bound(F.struct(F.transform(x["elements"], item).alias("typed"), marks.alias("marks")), whole)
+
+    none = F.struct(F.array().cast("array<struct<text:string,marked:boolean>>").alias("elements"), F.lit(True).alias("whole"))
+    found = L.bound(F.when(cell == "", none).otherwise(L.elements_of(cell, separator)), judged)
+    if not f.optional:
+        return found
+    nothing = F.struct(F.lit(f.default).cast(f.spark_type()).alias("value"), F.lit(None).cast("int" if f.marker in ("exactly_one", "at_most_one") else "array<int>").alias("picked"), F.lit(None).cast("string").alias("code"))
+    return F.when(cell == "", nothing).otherwise(found)
+
+
+def _tuple(cell: Column, f: Field, separator: str) -> Column:
+    """struct(value, code) of a shielded cell; parts are judged in order."""
+
+    def judged(x: Column) -> Column:
+        parts = F.struct(*(_scalar(F.coalesce(L.shielded_text(F.get(x["elements"], i)["text"]), F.lit("")), p).alias(p.name) for i, p in enumerate(f.parts)))
+
+        def whole(v: Column) -> Column:
+            faults = [F.when(F.get(x["elements"], i)["marked"], "E08").otherwise(v[p.name]["code"]) for i, p in enumerate(f.parts)]
+            code = F.when(~x["whole"], "E09").when(F.size(x["elements"]) != len(f.parts), "E07").otherwise(F.coalesce(*faults))
+            return L.bound(code, lambda c: F.struct(F.when(c.isNull(), F.struct(*(v[p.name]["value"].alias(p.name) for p in f.parts))).alias("value"), c.alias("code")))
+
+        return L.bound(parts, whole)
+
+    nothing = F.struct(F.lit(None).cast(f.spark_type()).alias("value"), F.lit(None if f.optional else "E07").cast("string").alias("code"))
+    return F.when(cell == "", nothing).otherwise(L.bound(L.elements_of(cell, separator), judged))
+
+
+def decoded_field(cell: Column, f: Field, separator: str, counts: Column | None = None) -> Column:
+    """One struct of a cell: value, code, and for a marked list picked."""
     if f.type in ("list", "mlist"):
-        value, picked, code = _list(cell, f, counts, separator)
-        return [value.alias(f.name), *([picked.alias(f.selection)] if f.type == "mlist" else [])], code
-    if f.type == "tuple":
-        value, code = _tuple(cell, f, separator)
-        return [value.alias(f.name)], code
-    value, code = _scalar(cell, f)
-    return [value.alias(f.name)], code
+        return _list(cell, f, counts, separator)
+    return _tuple(cell, f, separator) if f.type == "tuple" else _scalar(cell, f)
 
 
 def headers(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
-    """docs' key, ``lines``, and the header: prefix, n, v, typed keys in ``header``, unknown ones in ``extras``, and ``header_errors``."""
-    numbered = lines(docs)
+    """docs' key, ``lines``, and the header: prefix, n, v, typed keys in ``header``, unknown ones in ``extras``, and ``header_errors`` in order: entries as they stand, missing keys, count, prefix."""
+    sep = contract.separator
+    numbered = lines(docs.select(key, "text"))
     first = F.get("lines", 0)
-    cells = L.fields_of(L.shielded(first["text"], contract.separator))
-    entry = lambda x: F.struct(L.trimmed(F.substring_index(x, "=", 1)).alias("key"), L.trimmed(F.regexp_replace(x, "^[^=]*=", "")).alias("value"), x.contains("=").alias("whole"))
-    at = numbered.select(key, "lines", first["line"].alias("header_line"), F.get(cells, 0).alias("prefix"), F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), entry).alias("entries"), L.valid_escapes(first["text"], contract.separator).alias("escapes"))
-    value = lambda name: F.get(F.filter("entries", lambda e: e["whole"] & (e["key"] == name)), 0)["value"]
-    known = ("n", "v", *(f.name for f in contract.header))
-    n_field, v_field = Field("n", "int"), Field("v", "int")
-    columns, errors = [], []
-    add = lambda code, name: errors.append(F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(name).alias("field"))))
-    add(F.when(F.col("lines").isNull() | (F.size("lines") == 0), "E01"), "")
-    add(F.when(F.col("prefix") != contract.prefix, "E02"), "")
-    add(F.when(~F.col("escapes"), "E09"), "")
-    for f in (n_field, v_field):
-        v = value(f.name)
-        (typed,), code = decoded_field(F.coalesce(v, F.lit("")), f, contract.separator)
-        columns.append((F.when(v.isNotNull(), typed) if f.name == "n" else F.coalesce(F.when(v.isNotNull(), typed), F.lit(1))).alias(f.name))
-        add(F.when(v.isNull(), F.lit("E03") if f.name == "n" else F.lit(None).cast("string")).otherwise(code), f.name)
-    typed_keys = []
-    for f in contract.header:
-        v = value(f.name)
-        (typed,), code = decoded_field(F.coalesce(v, F.lit("")), f, contract.separator)
-        default = F.lit(f.default).cast(f.spark_type())
-        typed_keys.append(F.when(v.isNull(), default).otherwise(typed).alias(f.name))
-        add(F.when(v.isNull(), F.lit(None).cast("string") if f.optional else F.lit("E12")).otherwise(code), f.name)
-    whole = F.transform(F.filter("entries", lambda e: e["whole"]), lambda e: e["key"])
-    add(F.when(F.exists("entries", lambda e: ~e["whole"]) | (F.size(whole) > F.size(F.array_distinct(whole))), "E12"), "")
-    extra = F.filter("entries", lambda e: e["whole"] & ~e["key"].isin(*known))
-    extras = F.map_from_entries(F.aggregate(extra, F.array().cast("array<struct<key:string,value:string>>"), lambda done, e: F.when(F.exists(done, lambda o: o["key"] == e["key"]), done).otherwise(F.concat(done, F.array(F.struct(e["key"].alias("key"), L.restored(e["value"], contract.separator).alias("value")))))))
-    present = F.when(F.size("lines") > 0, F.array_compact(F.array(*errors))).otherwise(F.array(F.struct(F.lit("E01").alias("code"), F.lit("").alias("field"))))
-    header = F.struct(*typed_keys) if typed_keys else F.struct(F.lit(None).cast("string").alias("_"))
-    return at.select(key, "lines", "header_line", "prefix", *columns, header.alias("header"), extras.alias("extras"), present.cast(f"array<{ERROR}>").alias("header_errors"))
-
-
-def records(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
-    """A row for each record line: key, line, record (the contract's struct), errors (array of code and field). Uniqueness is by document; only records without another error claim a value."""
-    top = headers(docs, contract, key)
-    rows = top.select(key, "n", "v", "header", F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("l")).select(key, "v", "header", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
-    valid = L.valid_escapes(F.col("text"), contract.separator)
-    rows = rows.withColumn("cells", F.when(valid, L.fields_of(L.shielded(F.col("text"), contract.separator))))
+    entry = lambda x: F.struct(x.alias("text"), L.trimmed(F.substring_index(x, "=", 1)).alias("key"), L.trimmed(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("value"), x.contains("=").alias("whole"))
+    at = numbered.withColumn("first", first["text"]).withColumn("cells", L.fields_of(L.shielded(F.col("first"), sep)))
+    at = at.select(key, "lines", first["line"].alias("header_line"), L.restored(F.get("cells", 0), sep).alias("prefix"), F.filter(F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), entry), lambda e: e["text"] != "").alias("entries"), L.valid_escapes(F.col("first"), sep).alias("escapes"))
+    value = lambda name: F.get(F.filter("entries", lambda e: e["whole"] & (L.restored(e["key"], sep) == name)), 0)["value"]
+    fields = [Field("n", "int"), Field("v", "int"), *contract.header]
+    given = at.withColumns({f"g_{f.name}": value(f.name) for f in fields})
+    typed = given.withColumns({f"d_{f.name}": F.when(F.col(f"g_{f.name}").isNotNull(), decoded_field(F.col(f"g_{f.name}"), f, sep)) for f in fields})
+    known = [f.name for f in fields]
+    error = lambda code, name: F.struct(code.alias("code"), F.lit(name).alias("field"))
+
+    def fault(e: Column, i: Column) -> Column:
+        again = F.exists(F.slice("entries", F.lit(1), i), lambda o: o["whole"] & (o["key"] == e["key"]))
+        code = F.when(~e["whole"] | again, "E12")
+        for f in fields:
+            code = code.when(e["key"] == f.name, F.col(f"d_{f.name}.code"))
+        return F.struct(code.alias("code"), F.when(e["whole"], e["key"]).otherwise("").alias("field"))
+
+    missing = [error(F.when(F.col(f"g_{f.name}").isNull(), "E12"), f.name) for f in contract.header if not f.optional]
+    after = F.array(*missing, error(F.when(F.col("g_n").isNull(), "E03"), "n"), error(F.when(F.col("prefix") != contract.prefix, "E02"), ""))
+    found = F.filter(F.concat(F.array(error(F.when(~F.col("escapes"), "E09"), "")), F.transform("entries", fault), after), lambda e: e["code"].isNotNull())
+    errors = F.when(F.size("lines") > 0, found).otherwise(F.array(error(F.lit("E01"), "")))
+    extra = F.filter("entries", lambda e: e["whole"] & ~L.restored(e["key"], sep).isin(*known))
+    extras = F.aggregate(extra, F.create_map().cast("map<string,string>"), lambda done, e: F.when(F.map_contains_key(done, e["key"]), done).otherwise(F.map_concat(done, F.create_map(e["key"], L.restored(e["value"], sep)))))
+    keys = [F.when(F.col(f"g_{f.name}").isNull(), F.lit(f.default).cast(f.spark_type())).otherwise(F.col(f"d_{f.name}.value")).alias(f.name) for f in contract.header]
+    header = F.struct(*keys) if keys else F.struct(F.lit(None).cast("string").alias("_"))
+    return typed.select(key, "lines", "header_line", "prefix", F.col("d_n.value").alias("n"), F.coalesce("d_v.value", F.lit(1)).alias("v"), header.alias("header"), extras.alias("extras"), errors.cast(f"array<{ERROR}>").alias("header_errors"))
+
+
+def _parsed(docs: DataFrame, contract: Contract, key: str, outer: bool) -> DataFrame:
+    """A row for each record line with its document's header_errors, header_line, n and total; outer: one row without a line for documents without records. cut: the line looks broken off."""
+    sep = contract.separator
+    top = headers(docs, contract, key).withColumn("rest", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
+    spread = (F.explode_outer if outer else F.explode)("rest").alias("l")
+    carried = [key, "header_errors", "header_line", "n"]
+    rows = top.select(*carried, F.size("rest").alias("total"), "v", "header", spread).select(*carried, "total", "v", "header", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
+    rows = rows.withColumn("cells", F.when(L.valid_escapes(F.col("text"), sep), L.fields_of(L.shielded(F.col("text"), sep))))
     size, core, every = F.size("cells"), len(contract.core), len(contract.fields)
-    arity = (size < core) | ((size > every) & (F.col("v") <= contract.version))
-    rows = rows.withColumn("fatal", F.when(F.col("cells").isNull(), "E09").when(arity, "E05"))
-    values, errors = [], [F.when(F.col("fatal").isNotNull(), F.struct(F.col("fatal").alias("code"), F.lit("").alias("field")))]
+    short = size < core
+    arity = short | ((size > every) & (F.col("v") <= contract.version))
+    rows = rows.withColumns({"fatal": F.when(F.col("line").isNull(), F.lit("")).when(F.col("cells").isNull(), "E09").when(arity, "E05"), "cut": F.when(F.col("cells").isNull(), L.dangling(F.col("text"), sep)).otherwise(short)})
     header_names = {f.name for f in contract.header}
+    struct_of = {}
     for i, f in enumerate(contract.fields):
-        cell = F.coalesce(F.get("cells", i), F.lit(""))
         counts = F.col(f"header.{f.count_key}") if f.count_key in header_names else None
-        typed, code = decoded_field(cell, f, contract.separator, counts)
-        values += [F.when(F.col("fatal").isNull(), t).alias(n) for t, n in zip(typed, [f.name, f.selection], strict=False)]
-        errors.append(F.when(F.col("fatal").isNull() & code.isNotNull(), F.struct(code.alias("code"), F.lit(f.name).alias("field"))))
-    out = rows.select(key, "line", F.struct(*values).alias("record"), F.array_compact(F.array(*errors)).cast(f"array<{ERROR}>").alias("errors"))
-    for f in contract.fields:
-        if f.unique:
-            claims = F.min(F.when(F.size("errors") == 0, F.col("line"))).over(Window.partitionBy(key, F.col(f"record.{f.name}")))
-            twice = F.col(f"record.{f.name}").isNotNull() & (claims < F.col("line"))
-            out = out.withColumn("errors", F.when(twice, F.concat("errors", F.array(F.struct(F.lit("E11").alias("code"), F.lit(f.name).alias("field"))))).otherwise(F.col("errors")))
-    return out
+        struct_of[f"d_{i}"] = F.when(F.col("fatal").isNull(), decoded_field(F.coalesce(F.get("cells", i), F.lit("")), f, sep, counts))
+    rows = rows.withColumns(struct_of)
+    values, errors = [], [F.when(F.col("fatal") != "", F.struct(F.col("fatal").alias("code"), F.lit("").alias("field")))]
+    for i, f in enumerate(contract.fields):
+        values.append(F.col(f"d_{i}.value").alias(f.name))
+        if f.type == "mlist":
+            values.append(F.col(f"d_{i}.picked").alias(f.selection))
+        errors.append(F.when(F.col(f"d_{i}.code").isNotNull(), F.struct(F.col(f"d_{i}.code").alias("code"), F.lit(f.name).alias("field"))))
+    out = rows.select(*carried, "total", "line", F.struct(*values).alias("record"), F.array_compact(F.array(*errors)).cast(f"array<{ERROR}>").alias("errors"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    unique = [f.name for f in contract.fields if f.unique]
+    if len(unique) == 1:
+        value = F.col(f"record.{unique[0]}")
+        claims = F.min(F.when(F.size("errors") == 0, F.col("line"))).over(Window.partitionBy(key, value))
+        twice = F.coalesce(value.isNotNull() & (claims < F.col("line")), F.lit(False))
+        return out.withColumn("errors", F.when(twice, F.concat("errors", F.array(F.struct(F.lit("E11").alias("code"), F.lit(unique[0]).alias("field"))))).otherwise(F.col("errors")))
+    return _claimed(out, unique, key) if unique else out
+
+
+def _claimed(rows: DataFrame, unique: list[str], key: str) -> DataFrame:
+    """E11 for several unique fields: rows of a document pass in line order; an accepted one claims all its values."""
+    texts = F.array(*(F.to_json(F.struct(F.col(f"record.{n}").alias("v"))) for n in unique))
+    nulls = F.array(*(F.col(f"record.{n}").isNotNull() for n in unique))
+    brief = rows.where("line IS NOT NULL").select(F.col(key).cast("string").alias("k"), "line", (F.size("errors") == 0).alias("ok"), F.zip_with(texts, nulls, lambda t, there: F.when(there, t)).alias("vs"))
+    by = brief.repartition("k").sortWithinPartitions("k", "line")
+
+    def fold(frames):
+        at, claims = object(), []
+        for frame in frames:
+            out = []
+            for k, line, ok, vs in zip(frame["k"], frame["line"], frame["ok"], frame["vs"], strict=True):
+                if k != at:
+                    at, claims = k, [set() for _ in unique]
+                again = [n for n, v, seen in zip(unique, vs, claims, strict=True) if v is not None and v in seen]
+                if again:
+                    out.append((k, line, again))
+                elif ok:
+                    for v, seen in zip(vs, claims, strict=True):
+                        if v is not None:
+                            seen.add(v)
+            yield pd.DataFrame(out, columns=["k", "line", "again"])
+
+    found = by.mapInPandas(fold, "k string, line int, again array<string>")
+    joined = rows.join(found.withColumnRenamed("line", "at"), F.col(key).cast("string").eqNullSafe(F.col("k")) & (F.col("line") == F.col("at")), "left")
+    more = F.transform("again", lambda n: F.struct(F.lit("E11").alias("code"), n.alias("field")))
+    return joined.withColumn("errors", F.when(F.col("again").isNull(), F.col("errors")).otherwise(F.concat("errors", more))).drop("k", "at", "again")
+
+
+def records(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
+    """A row for each record line: key, line, record (the contract's struct), errors (array of code and field). Uniqueness is by document; only records without another error claim a value."""
+    return _parsed(docs, contract, key, False).select(key, "line", "record", "errors")
 
 
 def diagnostics(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
-    """For each document: n, received, valid, invalid, missing, excess, truncated and its error codes in order of line."""
-    top = headers(docs, contract, key).select(key, "n", "header_line", "header_errors")
-    by = records(docs, contract, key).groupBy(key).agg(
-        F.count("*").alias("received"),
-        F.count_if(F.size("errors") == 0).alias("valid"),
-        F.array_sort(F.flatten(F.collect_list(F.transform("errors", lambda e: F.struct(F.col("line").alias("line"), e["code"].alias("code")))))).alias("found"),
-        F.max_by("errors", "line").alias("last"),
+    """For each document: n, received, valid, invalid, missing, excess, truncated, its errors (header's, lines', count's), valid_lines and invalid_lines."""
+    by = _parsed(docs, contract, key, True).groupBy(key).agg(
+        F.first("n").alias("n"),
+        F.first("total").alias("received"),
+        F.first("header_line").alias("header_line"),
+        F.first("header_errors").alias("header_errors"),
+        F.count_if(F.col("line").isNotNull() & (F.size("errors") == 0)).alias("valid"),
+        F.array_sort(F.collect_list(F.when(F.size("errors") > 0, F.struct("line", F.transform("errors", lambda e: e["code"]).alias("codes"))))).alias("bad"),
+        F.array_sort(F.collect_list(F.when(F.size("errors") == 0, F.col("line")))).alias("valid_lines"),
+        F.max_by(F.col("cut") & F.exists("errors", lambda e: e["code"].isin("E05", "E09")), "line").alias("cut"),
+    )
+    error = lambda line, code: F.struct(line.cast("int").alias("line"), code.alias("code"))
+    head = F.transform("header_errors", lambda e: error(F.coalesce("header_line", F.lit(0)), e["code"]))
+    body = F.flatten(F.transform("bad", lambda b: F.transform(b["codes"], lambda c: error(b["line"], c))))
+    count = F.when(F.col("n") != F.col("received"), F.array(error(F.lit(0), F.lit("E04")))).otherwise(F.array().cast("array<struct<line:int,code:string>>"))
+    missing = F.greatest(F.coalesce(F.col("n") - F.col("received"), F.lit(0)), F.lit(0))
+    return by.select(
+        key,
+        "n",
+        "received",
+        "valid",
+        (F.col("received") - F.col("valid")).alias("invalid"),
+        missing.alias("missing"),
+        F.greatest(F.coalesce(F.col("received") - F.col("n"), F.lit(0)), F.lit(0)).alias("excess"),
+        ((missing > 0) | F.coalesce("cut", F.lit(False))).alias("truncated"),
+        F.concat(head, body, count).alias("errors"),
+        "valid_lines",
+        F.transform("bad", lambda b: b["line"]).alias("invalid_lines"),
     )
-    joined = top.join(by, key, "left")
-    received = F.coalesce("received", F.lit(0))
-    head = F.transform("header_errors", lambda e: F.struct(F.coalesce("header_line", F.lit(0)).alias("line"), e["code"].alias("code")))
-    count = F.when(F.col("n").isNotNull() & (F.col("n") != received), F.array(F.struct(F.lit(0).alias("line"), F.lit("E04").alias("code")))).otherwise(F.array().cast("array<struct<line:int,code:string>>"))
-    errors = F.concat(count, head, F.coalesce("found", F.array().cast("array<struct<line:int,code:string>>")))
-    missing = F.greatest(F.col("n") - received, F.lit(0))
-    return joined.select(key, "n", received.alias("received"), F.coalesce("valid", F.lit(0)).alias("valid"), (received - F.coalesce("valid", F.lit(0))).alias("invalid"), missing.alias("missing"), F.greatest(received - F.col("n"), F.lit(0)).alias("excess"), ((missing > 0) | F.coalesce(F.exists("last", lambda e: e["code"].isin("E05", "E09")), F.lit(False))).alias("truncated"), errors.alias("errors"))
 
 
 def decode(docs: DataFrame, contract: Contract, strict: bool = True, key: str = "doc_id") -> DataFrame:
     """key, line and the contract's columns. Lenient: the records without errors. Strict: those of documents without any."""
-    good = records(docs, contract, key).where(F.size("errors") == 0)
+    rows = _parsed(docs, contract, key, False)
     if strict:
-        clean = diagnostics(docs, contract, key).where(F.size("errors") == 0).select(key)
-        good = good.join(clean, key, "left_semi")
-    return good.select(key, "line", "record.*")
+        right = (F.size("header_errors") == 0) & F.coalesce(F.col("n") == F.col("total"), F.lit(False))
+        rows = rows.where(right).withColumn("bad", F.max(F.size("errors") > 0).over(Window.partitionBy(key))).where("NOT bad")
+    return rows.where(F.size("errors") == 0).select(key, "line", "record.*")
 
 
 def _encoded(f: Field, contract: Contract) -> Column:
@@ -201,9 +274,10 @@ def encode_records(df: DataFrame, contract: Contract, line: str = "wire") -> Dat
 
 
 def encode(df: DataFrame, contract: Contract, order: list[str], key: str = "doc_id", version: int = 1, **header: Column) -> DataFrame:
-    """A document for each key: its text, the records by ``order``. header: values of the contract's header keys, the same for all records of a document."""
+    """A document for each key: its text, the records by ``order``. header: values of header keys, the same for all records of a document; keys that the contract doesn't declare come last, as text."""
     rows = encode_records(df, contract)
-    given = [f for f in contract.header if f.name in header]
+    declared = {f.name for f in contract.header}
+    given = [f for f in contract.header if f.name in header] + [Field(name) for name in header if name not in declared]
     heads = [F.first(header[f.name]).alias(f"__{f.name}") for f in given]
     lines_of = F.array_sort(F.collect_list(F.struct(*order, "wire")))
     grouped = rows.groupBy(key).agg(lines_of.alias("__lines"), *heads)

@@ -69,7 +69,7 @@ def diagnostics_by_doc(spark, d):
 
 
 def lists_and_tuples(spark, d):
-    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("long").alias("q")))).alias("ls"))
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"), "l_returnflag"))).alias("ls"))
     wire = rows.select(
         (F.col("l_orderkey") % 64).alias("doc_id"),
         F.col("l_orderkey").alias("okey"),
@@ -129,7 +129,7 @@ QUERIES = {
     "decode_roundtrip_documents": (decode_roundtrip_documents, r"SELECT doc_id AS id, md5(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[ \t]+', ''), '[ \t]+$', '')) AS digest FROM documents"),
     "wire_encode_orders": (wire_encode_orders, _ORDERS_DOC),
     "diagnostics_by_doc": (diagnostics_by_doc, "SELECT o_custkey AS doc_id, count(*) + (o_custkey % 5 = 0)::INT AS n, count(*) AS received, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0) AS valid, count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0) AS invalid, (o_custkey % 5 = 0)::INT AS missing FROM orders GROUP BY o_custkey"),
-    "lists_and_tuples": (lists_and_tuples, "SELECT l_orderkey AS okey, count(*) AS n_parts, sum(l_partkey) AS sum_parts, count(*) FILTER (l_returnflag = 'R') AS n_returned, CAST(first(l_quantity ORDER BY l_linenumber, l_partkey) AS BIGINT) AS qty FROM lineitem GROUP BY 1"),
+    "lists_and_tuples": (lists_and_tuples, "SELECT l_orderkey AS okey, count(*) AS n_parts, sum(l_partkey) AS sum_parts, count(*) FILTER (l_returnflag = 'R') AS n_returned, CAST(first(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY 1"),
     "lex_guards": (lex_guards, r"WITH x AS (SELECT l_orderkey % 7 AS k, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem), y AS (SELECT k, CASE k WHEN 0 THEN '+' || q WHEN 1 THEN q || '.5' WHEN 2 THEN q || '.' WHEN 3 THEN '00' || q WHEN 4 THEN '-0.' || q ELSE q END AS x FROM x) SELECT k, count(*) FILTER (regexp_full_match(x, '-?[0-9]+')) AS n_int, count(*) FILTER (regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?')) AS n_float, count(*) FILTER (regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?')) AS n_decimal, min(CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN regexp_replace(x, '^00', '') END) AS least FROM y GROUP BY k"),
     "header_parse": (header_parse, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CASE WHEN n_nationkey % 3 = 0 THEN 'E12' ELSE '' END AS error FROM nation"),
     "constant_columns": (constant_columns, "WITH c AS (SELECT o_custkey, 'o_orderstatus' AS name, o_orderstatus AS cell FROM orders UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority FROM orders), g AS (SELECT o_custkey, name, min(cell) AS cell, max(cell) AS high, count(*) AS rows FROM c GROUP BY 1, 2) SELECT name, cell, count(*) AS n FROM g WHERE rows >= 3 AND cell = high AND strlen(cell) * rows + rows > strlen(cell) + strlen(name) + 5 GROUP BY 1, 2"),
