@@ -20,11 +20,11 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     """f of x, with x computed once however often f uses it."""
-    return F.get(F.transform(F.array(x), f), 0)
+    return F.get(F.transform(F.array(x), lambda one: f(one)), 0)
 
 
 def has_reserved(text: Column) -> Column:
-    return text.rlike(f"[{BACKSLASH}-{PAIR}]")
+    return F.contains(text.cast("binary"), F.lit(b"\xee\x80"))  # how UTF-8 starts U+E000 to U+E03F
 
 
 def _paired(text: Column) -> Column:

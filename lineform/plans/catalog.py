@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lineform.plans import analytics, costs, wire
+from lineform.plans import analytics, costs, profile, wire
 
-MODULES = (wire, analytics, costs)
+MODULES = (wire, profile, analytics, costs)
 
 
 def queries() -> dict:

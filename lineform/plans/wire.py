@@ -9,7 +9,6 @@ from lineform.contract import Contract, Field
 from lineform.functions import lexical as L
 from lineform.functions import scalars as S
 from lineform.operators import documents as D
-from lineform.operators import domain
 from lineform.sources.documents import html_text
 
 EVENTS = Contract(
@@ -100,23 +99,10 @@ def header_parse(spark, d):
     return top.select("doc_id", F.col("header.name").alias("name"), F.col("header.region").alias("region"), F.coalesce(F.get("header_errors", 0)["code"], F.lit("")).alias("error"))
 
 
-def constant_columns(spark, d):
-    rows = t(spark, d, "orders").withColumn("doc_id", F.col("o_custkey"))
-    found = domain.constants(domain.cells(rows, "doc_id", "o_orderkey", ["o_orderstatus", "o_orderpriority"]), "doc_id")
-    return found.groupBy("name", "cell").agg(F.count("*").alias("n"))
-
-
-def dictionary_columns(spark, d):
-    rows = t(spark, d, "orders").withColumn("doc_id", F.col("o_custkey") % 50)
-    return domain.dictionaries(domain.cells(rows, "doc_id", "o_orderkey", ["o_orderstatus", "o_orderpriority"]), "doc_id", ["o_orderstatus", "o_orderpriority"]).select("doc_id", "name", "cell", "code")
-
-
-def kinds_of_props(spark, d):
-    return domain.kinds(t(spark, d, "events").select("event_id", "props"), "event_id", "props")
-
-
 def html_lengths(spark, d):
-    return t(spark, d, "pages").select("page_id", (F.length(html_text(F.col("html"))) > 0).alias("has_text"), html_text(F.col("html")).contains("<script").alias("has_script"))
+    """Text of pages between tags, beside the page's own length."""
+    pages = t(spark, d, "pages").where("NOT contains(html, '<!--')")
+    return pages.select("page_id", F.md5(html_text(F.col("html"))).alias("digest"), F.length("html").alias("n_html"))
 
 
 _ORDERS_DOC = "SELECT o_custkey AS doc_id, md5('ord|n=' || count(*) || chr(10) || string_agg(o_orderkey || '|' || o_orderstatus || '|' || CAST(round(o_totalprice * 100) AS BIGINT) || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10)) AS digest FROM orders GROUP BY 1"
@@ -132,8 +118,5 @@ QUERIES = {
     "lists_and_tuples": (lists_and_tuples, "SELECT l_orderkey AS okey, count(*) AS n_parts, sum(l_partkey) AS sum_parts, count(*) FILTER (l_returnflag = 'R') AS n_returned, CAST(first(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY 1"),
     "lex_guards": (lex_guards, r"WITH x AS (SELECT l_orderkey % 7 AS k, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem), y AS (SELECT k, CASE k WHEN 0 THEN '+' || q WHEN 1 THEN q || '.5' WHEN 2 THEN q || '.' WHEN 3 THEN '00' || q WHEN 4 THEN '-0.' || q ELSE q END AS x FROM x) SELECT k, count(*) FILTER (regexp_full_match(x, '-?[0-9]+')) AS n_int, count(*) FILTER (regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?')) AS n_float, count(*) FILTER (regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?')) AS n_decimal, min(CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN regexp_replace(x, '^00', '') END) AS least FROM y GROUP BY k"),
     "header_parse": (header_parse, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CASE WHEN n_nationkey % 3 = 0 THEN 'E12' ELSE '' END AS error FROM nation"),
-    "constant_columns": (constant_columns, "WITH c AS (SELECT o_custkey, 'o_orderstatus' AS name, o_orderstatus AS cell FROM orders UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority FROM orders), g AS (SELECT o_custkey, name, min(cell) AS cell, max(cell) AS high, count(*) AS rows FROM c GROUP BY 1, 2) SELECT name, cell, count(*) AS n FROM g WHERE rows >= 3 AND cell = high AND strlen(cell) * rows + rows > strlen(cell) + strlen(name) + 5 GROUP BY 1, 2"),
-    "dictionary_columns": (dictionary_columns, "WITH o AS (SELECT *, o_custkey % 50 AS doc_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS pos FROM orders), c AS (SELECT doc_id, pos, 'o_orderstatus' AS name, o_orderstatus AS cell FROM o UNION ALL SELECT doc_id, pos, 'o_orderpriority', o_orderpriority FROM o), v AS (SELECT doc_id, name, cell, count(*) AS k, min(pos) AS f FROM c GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY f) - 1 AS code FROM v), s AS (SELECT doc_id, name, sum(k) AS n, count(*) AS m, sum(strlen(cell)) AS b, sum((strlen(cell) - strlen(CAST(code AS VARCHAR))) * k) AS saved FROM w GROUP BY 1, 2) SELECT w.doc_id, w.name, w.cell, CAST(w.code AS INT) AS code FROM w JOIN s USING (doc_id, name) WHERE n >= 6 AND m BETWEEN 2 AND 64 AND 3 * m <= n AND b >= 6 * m AND saved - (b + m + strlen(name)) > greatest(32, (b + m + strlen(name)) // 3)"),
-    "kinds_of_props": (kinds_of_props, "SELECT 'k' AS path, 'integer' AS kind, false AS optional, false AS nullable"),
-    "html_lengths": (html_lengths, None),
+    "html_lengths": (html_lengths, r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript|template\b.*?</template|svg\b.*?</svg)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest, length(html) AS n_html FROM pages WHERE NOT contains(html, '<!--')"),
 }
