@@ -1,11 +1,11 @@
-"""Damaged documents: find the document within an answer, and list its invalid items.
+"""Damaged documents: find the document within an answer, list its invalid items, merge corrections, continue.
 
 All steps are columns and joins by document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineform.contract import Contract
@@ -56,3 +56,83 @@ def invalid_items(docs: DataFrame, contract: Contract, key: str = "doc_id") -> D
     empty = F.array().cast("array<struct<pos:int,last:int,lines:array<int>,text:string,codes:array<string>,k:int>>")
     items = by.select(key, F.posexplode(F.aggregate("found", empty, merged)).alias("item", "i"))
     return items.select(key, "item", (F.col("i.pos") == 0).alias("is_header"), "i.lines", "i.text", "i.codes")
+
+
+DROP = "-"
+
+
+def requests(docs: DataFrame, contract: Contract, most_items: int | None = None, key: str = "doc_id") -> DataFrame:
+    """key, items (their number), prompt, hint: what to ask for so that the invalid items of a document are corrected, and about how many tokens the answer needs."""
+    items = invalid_items(docs, contract, key)
+    if most_items is not None:
+        items = items.where(F.col("item") < most_items)
+    place = F.concat(F.lit("[L"), F.get("lines", 0).cast("string"), F.when(F.size("lines") > 1, F.concat(F.lit("-L"), F.element_at("lines", -1).cast("string"))).otherwise(F.when(F.col("is_header"), " header").otherwise("")), F.lit("] "))
+    entry = F.concat(place, F.replace("text", F.lit("\n"), F.lit(" / ")), F.lit("  <- "), F.array_join("codes", ", "))
+    by = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", entry.alias("entry")))).alias("es"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("items"))
+    head = _physical(docs, key).where("pos = 0").select(key, F.col("text").alias("head"))
+    k = F.col("items").cast("string")
+    prompt = F.concat_ws("\n", F.concat(F.lit("Correct only these lines of a document with the header "), F.coalesce("head", F.lit(f"{contract.prefix}|n=0")), F.lit(":")), F.array_join(F.transform("es", lambda x: x["entry"]), "\n"), F.concat(F.lit(f"Answer with {contract.prefix}|n="), k, F.lit(f" and one line for each, in this order; {DROP} for a line that is no record.")))
+    return by.join(head, key, "left").select(key, "items", prompt.alias("prompt"), F.greatest(F.lit(64), F.floor(F.col("chars") / 2.5) + 16 * (F.col("items") + 1)).alias("hint"))
+
+
+def _answered(answers: DataFrame, contract: Contract, key: str) -> DataFrame:
+    """key, item, cand: the lines of an answer after its header, if it has one."""
+    rows = D.lines(answers.select(key, extracted(F.col("answer"), contract.prefix).alias("text")))
+    first = L.trimmed(F.get("lines", 0)["text"])
+    skip = F.when((first == contract.prefix) | first.startswith(contract.prefix + "|"), 2).otherwise(1)
+    body = F.slice("lines", skip, F.greatest(F.size("lines"), F.lit(1)))
+    return rows.select(key, F.posexplode(F.transform(body, lambda x: L.trimmed(x["text"]))).alias("item", "cand"))
+
+
+def merge(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
+    """key, text, replaced, dropped, unresolved (lines) of every document, with the corrections of ``answers`` (key, answer) in place.
+
+    The k-th line of an answer is for the k-th invalid item. A correction counts only if it is a right record under
+    the (corrected) header and claims no unique value that a kept record or an earlier correction has; - drops the
+    item, and so does a copy of a line that is there already. Whatever isn't resolved stays as it was.
+    """
+    base = docs.select(key, extracted(F.col("text"), contract.prefix).alias("text"))
+    physical = _physical(base, key)
+    items = invalid_items(base, contract, key).select(key, "item", "is_header", "lines")
+    pairs = items.join(_answered(answers, contract, key), [key, "item"], "left")
+    asked = pairs.where("is_header AND cand IS NOT NULL").select(key, F.col("cand").alias("text"))
+    header = D.headers(asked, contract, key).where(F.size("header_errors") == 0).select(key, F.lit(True).alias("good"))
+    heads = physical.where("pos = 0").select(key, F.col("text").alias("head")).join(asked.join(header, key).select(key, F.col("text").alias("new_head")), key, "left")
+    lines_of = items.select(key, "item", "is_header", F.posexplode("lines").alias("part", "line"))
+    kept = physical.where("pos > 0").join(lines_of, [key, "line"], "left_anti")
+    texts = kept.select(key, L.trimmed(F.col("text")).alias("cand"), F.lit(True).alias("there")).distinct()
+    first = F.min("item").over(Window.partitionBy(key, "cand"))
+    tried = pairs.where("NOT is_header AND cand IS NOT NULL").withColumn("first", first).join(texts, [key, "cand"], "left")
+    fresh = (F.col("cand") != DROP) & (F.col("cand") != "") & F.col("there").isNull() & (F.col("item") == F.col("first"))
+    probes = tried.where(fresh).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", "cand"))).alias("cs"))
+    old = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ks"))
+    probe = probes.join(old, key, "left").join(heads, key, "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<line:int,text:string>>")))
+    body = F.concat(F.array(F.coalesce("new_head", "head", F.lit(f"{contract.prefix}|n=0"))), F.transform("ks", lambda x: x["text"]), F.transform("cs", lambda x: x["cand"]))
+    judged = D.records(probe.select(key, F.array_join(body, "\n").alias("text")), contract, key).where(F.size("errors") == 0).select(key, "line")
+    right = probe.select(key, F.posexplode("cs").alias("j", "c"), (F.size("ks") + 2).alias("from")).select(key, F.col("c.item").alias("item"), (F.col("from") + F.col("j")).alias("line")).join(judged, [key, "line"]).select(key, "item", F.lit(True).alias("right"))
+    found = tried.join(right, [key, "item"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
+    original = F.max("right").over(Window.partitionBy(key, "cand"))
+    state = F.when((F.col("cand") == DROP) | F.col("there") | ((F.col("item") > F.col("first")) & original), "dropped").when(F.col("right"), "replaced").otherwise("unresolved")
+    states = found.select(key, "item", state.alias("state"), "cand")
+    heads_state = pairs.where("is_header").join(header, key, "left").select(key, "item", F.when(F.col("good"), "replaced").otherwise("unresolved").alias("state"), "cand")
+    known = lines_of.join(states.unionByName(heads_state), [key, "item"], "left").select(key, "line", "part", F.coalesce("state", F.lit("unresolved")).alias("state"), "cand")
+    merged = physical.join(known, [key, "line"], "left")
+    text = F.when(F.col("state").isNull() | (F.col("state") == "unresolved"), F.col("text")).when((F.col("state") == "replaced") & (F.col("part") == 0), F.col("cand"))
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("state") == s, F.col("line")))).alias(s)
+    by = merged.withColumn("new", text).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("new").isNotNull(), F.struct("line", "new")))).alias("ls"), of("replaced"), of("dropped"), of("unresolved"))
+    none = F.array().cast("array<int>")
+    return base.select(key).join(by, key, "left").select(key, F.coalesce(F.array_join(F.transform("ls", lambda x: x["new"]), "\n"), F.lit("")).alias("text"), *(F.coalesce(c, none).alias(c) for c in ("replaced", "dropped", "unresolved")))
+
+
+def continued(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
+    """key, text, code: documents that end before n records, with the lines of their continuation (answers: key, answer) after them. A broken last line goes first; code is D_EXPECTED_COUNT where the number of lines is still not n."""
+    base = docs.select(key, extracted(F.col("text"), contract.prefix).alias("text"))
+    state = D.diagnostics(base, contract, key).select(key, "n", "truncated", "received", F.get("invalid_lines", F.size("invalid_lines") - 1).alias("last_bad"))
+    more = _answered(answers, contract, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", "cand"))).alias("ms"))
+    rows = D.lines(base).join(state, key).join(more, key, "left")
+    broken = F.col("truncated") & (F.element_at("lines", -1)["line"] == F.col("last_bad"))
+    own = F.transform(F.when(broken, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines")), lambda x: x["text"])
+    short = F.size(own) - 1 < F.col("n")
+    lines_of = F.when(short & F.col("ms").isNotNull(), F.concat(own, F.transform("ms", lambda x: x["cand"]))).otherwise(F.transform("lines", lambda x: x["text"]))
+    out = rows.withColumn("all", lines_of)
+    return out.select(key, F.array_join("all", "\n").alias("text"), F.when(F.size("all") - 1 != F.col("n"), "D_EXPECTED_COUNT").alias("code"))

@@ -53,3 +53,38 @@ def test_cluster_ratio(spark):
     assert set(out) == {"g", "one"} and out["g"].ratio == 0.5 and out["g"].clusters == 400
     assert 0.43 < out["g"].low < 0.47 and 0.53 < out["g"].high < 0.57  # 1.96 standard errors are 0.049
     assert (out["one"].ratio, out["one"].low, out["one"].high) == (0.25, 0.25, 0.25)
+
+
+def merged(spark, doc, answer, contract=C):
+    docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    answers = spark.createDataFrame([(1, answer)], "doc_id long, answer string")
+    r = repair.merge(docs, answers, contract).first()
+    return r.text, r.replaced, r.dropped, r.unresolved
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("sc|n=4\nb|2|red\n-\nd|3|red\nf|6|red", ("sc|n=6\na|1|red\nb|2|red\nd|3|red\ne|9|red\nf|6|red", [3, 5, 6, 8], [4], [])),
+        ("b|y|red\nc|2|red\nd|3|red\na|1|red", ("sc|n=6\na|1|red\nb|x|red\nc|2|red\nd|3|red\ne|9|red", [4, 5, 6], [8], [3])),
+        ("sc|n=1\na|7|red", ("sc|n=6\na|1|red\nb|x|red\nc|2|blue\nd|3\nx|red\ne|9|red\nf|q|red", [], [], [3, 4, 5, 6, 8])),
+        ("```\nsc|n=4\nb|2|red\nb|2|red\nb|5|red\n\n```", ("sc|n=6\na|1|red\nb|2|red\nd|3\nx|red\ne|9|red\nf|q|red", [3], [4], [5, 6, 8])),
+        (None, ("sc|n=6\na|1|red\nb|x|red\nc|2|blue\nd|3\nx|red\ne|9|red\nf|q|red", [], [], [3, 4, 5, 6, 8])),
+    ],
+)
+def test_merge(spark, answer, want):
+    assert merged(spark, DOC, answer) == want
+
+
+def test_merge_header(spark):
+    assert merged(spark, "sc|k\na|1|red", "sc|n=1\nsc|n=1") == ("sc|n=1\na|1|red", [1], [], [])
+    assert merged(spark, "sc|k\na|1|red", "sc|n=1\nsc|k=x") == ("sc|k\na|1|red", [], [], [1])
+
+
+def test_requests_and_continuation(spark):
+    docs = spark.createDataFrame([(1, DOC), (2, "sc|n=3\na|1|red\nb|2"), (3, "sc|n=1\na|1|red")], "doc_id long, text string")
+    r = {x.doc_id: x for x in repair.requests(docs, C).collect()}
+    assert set(r) == {1, 2} and r[1]["items"] == 4 and "[L5-L6] d|3 / x|red  <- E05, E05" in r[1].prompt and r[1].hint == 92
+    more = spark.createDataFrame([(2, "sc|n=2\nb|2|red\nc|3|red"), (3, "zz|9|red")], "doc_id long, answer string")
+    got = {x.doc_id: (x.text, x.code) for x in repair.continued(docs, more, C).collect()}
+    assert got[2] == ("sc|n=3\na|1|red\nb|2|red\nc|3|red", None) and got[3] == ("sc|n=1\na|1|red", None) and got[1][1] == "D_EXPECTED_COUNT"
