@@ -35,10 +35,13 @@ def _paired(text: Column) -> Column:
 
 
 def _unpaired(text: Column) -> Column:
-    plain = text
-    for c, second in zip(RESERVED, _SECOND, strict=True):
-        plain = F.replace(plain, F.lit(PAIR + second), F.lit(c))
-    return F.when(text.contains(PAIR), plain).otherwise(text)
+    def opened(t: Column) -> Column:
+        plain = t
+        for c, second in zip(RESERVED, _SECOND, strict=True):
+            plain = F.replace(plain, F.lit(PAIR + second), F.lit(c))
+        return F.when(t.contains(PAIR), plain).otherwise(t)
+
+    return bound(text, opened)
 
 
 def valid_escapes(line: Column, separator: str = ",") -> Column:

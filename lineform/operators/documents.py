@@ -49,7 +49,7 @@ def _scalar(cell: Column, f: Field) -> Column:
         return F.struct(F.when(code.isNull(), v["value"]).alias("value"), code.alias("code"))
 
     nothing = F.struct(F.lit(f.default if f.optional else None).cast(f.spark_type()).alias("value"), F.lit(None if f.optional else "E06").cast("string").alias("code"))
-    return F.when(cell == "", nothing).otherwise(L.bound(typed(L.restored(cell)), judged))
+    return F.when(cell == "", nothing).otherwise(L.bound(L.bound(L.restored(cell), typed), judged))
 
 
 def _list(cell: Column, f: Field, counts: Column | None, separator: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lineform.contract import Contract
 from lineform.functions import lexical as L
 from lineform.operators import documents as D
+from lineform.operators.staging import staged
 
 FENCE = r"^\s*(```|~~~)"
 
@@ -40,7 +41,7 @@ def _physical(docs: DataFrame, key: str) -> DataFrame:
 def invalid_items(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
     """key, item, is_header, lines, text, codes: invalid lines in order; neighbours that are fragments of one record are one item."""
     heads = D.headers(docs, contract, key).where("size(header_errors) > 0").select(key, F.col("header_line").alias("line"), F.col("header_errors").alias("errors"))
-    found = D.records(docs, contract, key).where("size(errors) > 0").select(key, "line", "errors").unionByName(heads)
+    found = staged(D.records(docs, contract, key).where("size(errors) > 0").select(key, "line", "errors").unionByName(heads))
     bad = _physical(docs, key).join(found, [key, "line"])
     entry = F.struct("pos", F.col("pos").alias("last"), F.array("line").alias("lines"), "text", F.transform("errors", lambda e: e["code"]).alias("codes"), L.field_count(F.col("text")).alias("k"))
     by = bad.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("found"))
@@ -92,25 +93,25 @@ def merge(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "d
     item, and so does a copy of a line that is there already. Whatever isn't resolved stays as it was.
     """
     base = docs.select(key, extracted(F.col("text"), contract.prefix).alias("text"))
-    physical = _physical(base, key)
+    physical = staged(_physical(base, key))
     items = invalid_items(base, contract, key).select(key, "item", "is_header", "lines")
-    pairs = items.join(_answered(answers, contract, key), [key, "item"], "left")
+    pairs = staged(items.join(_answered(answers, contract, key), [key, "item"], "left"))
     asked = pairs.where("is_header AND cand IS NOT NULL").select(key, F.col("cand").alias("text"))
-    header = D.headers(asked, contract, key).where(F.size("header_errors") == 0).select(key, F.lit(True).alias("good"))
+    header = staged(D.headers(asked, contract, key).where(F.size("header_errors") == 0).select(key, F.lit(True).alias("good")))
     heads = physical.where("pos = 0").select(key, F.col("text").alias("head")).join(asked.join(header, key).select(key, F.col("text").alias("new_head")), key, "left")
-    lines_of = items.select(key, "item", "is_header", F.posexplode("lines").alias("part", "line"))
+    lines_of = pairs.select(key, "item", "is_header", F.posexplode("lines").alias("part", "line"))
     kept = physical.where("pos > 0").join(lines_of, [key, "line"], "left_anti")
     texts = kept.select(key, L.trimmed(F.col("text")).alias("cand"), F.lit(True).alias("there")).distinct()
     first = F.min("item").over(Window.partitionBy(key, "cand"))
-    tried = pairs.where("NOT is_header AND cand IS NOT NULL").withColumn("first", first).join(texts, [key, "cand"], "left")
+    tried = staged(pairs.where("NOT is_header AND cand IS NOT NULL").withColumn("first", first).join(texts, [key, "cand"], "left"))
     fresh = (F.col("cand") != DROP) & (F.col("cand") != "") & F.col("there").isNull() & (F.col("item") == F.col("first"))
     probes = tried.where(fresh).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", "cand"))).alias("cs"))
     old = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ks"))
-    probe = probes.join(old, key, "left").join(heads, key, "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<line:int,text:string>>")))
+    probe = staged(probes.join(old, key, "left").join(heads, key, "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<line:int,text:string>>"))))
     body = F.concat(F.array(F.coalesce("new_head", "head", F.lit(f"{contract.prefix}|n=0"))), F.transform("ks", lambda x: x["text"]), F.transform("cs", lambda x: x["cand"]))
     judged = D.records(probe.select(key, F.array_join(body, "\n").alias("text")), contract, key).where(F.size("errors") == 0).select(key, "line")
     right = probe.select(key, F.posexplode("cs").alias("j", "c"), (F.size("ks") + 2).alias("from")).select(key, F.col("c.item").alias("item"), (F.col("from") + F.col("j")).alias("line")).join(judged, [key, "line"]).select(key, "item", F.lit(True).alias("right"))
-    found = tried.join(right, [key, "item"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
+    found = tried.join(staged(right), [key, "item"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
     original = F.max("right").over(Window.partitionBy(key, "cand"))
     state = F.when((F.col("cand") == DROP) | F.col("there") | ((F.col("item") > F.col("first")) & original), "dropped").when(F.col("right"), "replaced").otherwise("unresolved")
     states = found.select(key, "item", state.alias("state"), "cand")
