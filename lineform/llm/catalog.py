@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineform.llm import context_mixing, decontamination, ngram_join, personal_data, quality, secret_scan, sentencepieces, suffix_dedup, toxicity, transport_streams
+from lineform.llm import context_mixing, decontamination, ngram_join, oracles, personal_data, quality, secret_scan, sentencepieces, suffix_dedup, toxicity, transport_streams
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(oracles.SQL)
