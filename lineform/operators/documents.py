@@ -145,8 +145,13 @@ def headers(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFra
 
 def _parsed(docs: DataFrame, contract: Contract, key: str, outer: bool) -> DataFrame:
     """A row for each record line with its document's header_errors, header_line, n and total; outer: one row without a line for documents without records. cut: the line looks broken off."""
-    sep = contract.separator
     top = headers(docs, contract, key).withColumn("rest", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
+    return unique_checked(typed(top, contract, key, outer), contract, key)
+
+
+def typed(top: DataFrame, contract: Contract, key: str, outer: bool = False) -> DataFrame:
+    """Of headers with ``rest``, the array of record lines: a row for each line, without a check of uniqueness."""
+    sep = contract.separator
     spread = (F.explode_outer if outer else F.explode)("rest").alias("l")
     carried = [key, "header_errors", "header_line", "n"]
     rows = top.select(*carried, F.size("rest").alias("total"), "v", "header", spread).select(*carried, "total", "v", "header", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
@@ -167,8 +172,25 @@ def _parsed(docs: DataFrame, contract: Contract, key: str, outer: bool) -> DataF
         if f.type == "mlist":
             values.append(F.col(f"d_{i}.picked").alias(f.selection))
         errors.append(F.when(F.col(f"d_{i}.code").isNotNull(), F.struct(F.col(f"d_{i}.code").alias("code"), F.lit(f.name).alias("field"))))
-    out = rows.select(*carried, "total", "line", F.struct(*values).alias("record"), F.array_compact(F.array(*errors)).cast(f"array<{ERROR}>").alias("errors"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    return rows.select(*carried, "total", "line", F.struct(*values).alias("record"), F.array_compact(F.array(*errors)).cast(f"array<{ERROR}>").alias("errors"), F.coalesce("cut", F.lit(False)).alias("cut"))
+
+
+def claims_of(rows: DataFrame, contract: Contract, key: str) -> DataFrame:
+    """key, field, value (as JSON text) of what accepted rows claim."""
+    names = [f.name for f in contract.fields if f.unique]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.when(F.col(f"record.{n}").isNotNull(), F.to_json(F.struct(F.col(f"record.{n}").alias("v")))).alias("value")) for n in names)))
+    return rows.where("size(errors) = 0 AND line IS NOT NULL").select(key, each.alias("c")).select(key, "c.*").where("value IS NOT NULL")
+
+
+def unique_checked(out: DataFrame, contract: Contract, key: str, claimed: DataFrame | None = None) -> DataFrame:
+    """Typed rows with E11 where an accepted row before them, or ``claimed`` (as by claims_of), has the value."""
     unique = [f.name for f in contract.fields if f.unique]
+    for i, name in enumerate(unique if claimed is not None else []):
+        old = claimed.where(F.col("field") == name).select(F.col(key).alias(f"k{i}"), F.col("value").alias(f"v{i}")).distinct()
+        value = F.to_json(F.struct(F.col(f"record.{name}").alias("v")))
+        again = F.array(F.struct(F.lit("E11").alias("code"), F.lit(name).alias("field"))).cast(f"array<{ERROR}>")
+        out = out.join(old, F.col(key).eqNullSafe(F.col(f"k{i}")) & (value == F.col(f"v{i}")) & F.col(f"record.{name}").isNotNull(), "left")
+        out = out.withColumn("errors", F.when(F.col(f"v{i}").isNotNull(), F.concat("errors", again)).otherwise(F.col("errors"))).drop(f"k{i}", f"v{i}")
     if len(unique) == 1:
         value = F.col(f"record.{unique[0]}")
         claims = F.min(F.when(F.size("errors") == 0, F.col("line"))).over(Window.partitionBy(key, value))

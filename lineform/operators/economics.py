@@ -77,3 +77,29 @@ def break_even(base_fixed: Column, base_each: Column, fixed: Column, each: Colum
     div = lambda x, y: F.call_function("div", x, F.when(y > 0, y))
     low = F.when(state == "from", div(-b, a) + 1).when(state.isin("always", "until"), F.lit(1).cast("long"))
     return F.struct(state.alias("state"), low.alias("k_min"), F.when(state == "until", div(b - 1, -a)).alias("k_max"))
+
+
+def cost_per_thousand(total: Column, valid: Column) -> Column:
+    """struct(state, cost, incurred) in micro-units: undefined, with what was spent, where there is no valid record."""
+    known = total.isNotNull() & valid.isNotNull() & (valid > 0)
+    return F.struct(F.when(known, "ok").otherwise("undefined").alias("state"), F.when(known, (total.cast("decimal(28,8)") * 1000 / valid.cast("decimal(19,0)")).cast("decimal(38,6)")).alias("cost"), total.alias("incurred"))
+
+
+def declared_value(group: str, request: str, value: str) -> Column:
+    """struct(value, consistent) of a group of requests: the original's value (request equals group) wins; else all that declare one have to agree."""
+    own = F.max(F.when(F.col(request) == F.col(group), F.struct(F.lit(True).alias("there"), F.col(value).alias("v"))))
+    low, high = F.min(value), F.max(value)
+    return F.when(own["there"], F.struct(own["v"].alias("value"), F.lit(True).alias("consistent"))).otherwise(F.struct(F.when(low == high, low).alias("value"), F.coalesce(low == high, F.lit(True)).alias("consistent")))
+
+
+def budget_capacity(budget: Column, batch: Column, valid_each: Column) -> Column:
+    """struct(batches, records): whole batches that a budget pays for, and their valid records; null where a batch's cost is unknown or 0."""
+    whole = F.when(batch > 0, F.call_function("div", budget.cast("decimal(38,0)"), batch.cast("decimal(38,0)")))
+    return F.struct(whole.alias("batches"), F.floor(whole * valid_each).alias("records"))
+
+
+def projected_saving(reference: Column, ratio: Column, price: Column) -> Column:
+    """struct(base, other, saving, share) in micro-units: what a reference number of output tokens costs, and the same work at the measured ratio of tokens."""
+    base = (reference.cast("decimal(19,0)") * price.cast("decimal(18,8)")).cast("decimal(38,8)")
+    other = (base * ratio.cast("decimal(18,8)")).cast("decimal(38,8)")
+    return F.struct(base.alias("base"), other.alias("other"), (base - other).cast("decimal(38,8)").alias("saving"), F.when(base > 0, F.round((base - other) / base, 6).cast("double")).alias("share"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lineform.operators import selection
 from lineform.operators import statistics as A
 from lineform.plans.wire import t
 
@@ -66,11 +67,9 @@ def semi_and_anti(spark, d):
 
 def range_join_cut_points(spark, d):
     """Lines of each document that end by each of ten equally spaced cuts."""
-    docs = t(spark, d, "documents").where(F.length("text") > 0)
-    ends = F.aggregate(F.split("text", "\n"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    rows = docs.select("doc_id", F.length("text").alias("n"), F.slice(ends, 2, 10**9).alias("ends"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("i"))
-    cut = F.floor(F.col("n") * F.col("i") / 11)
-    return rows.select("doc_id", "i", F.size(F.filter("ends", lambda e: e <= cut)).alias("lines"))
+    docs = t(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text", F.posexplode(selection.cut_points(F.length("text"), 10)).alias("i", "cut"))
+    head = F.substring(F.col("text"), F.lit(1), F.col("cut").cast("int"))
+    return docs.select("doc_id", (F.col("i") + 1).alias("i"), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).alias("lines"))
 
 
 def multiset_intersect(spark, d):
@@ -91,7 +90,7 @@ def daily(spark, d):
 
 
 def interp_crossing(spark, d):
-    return A.interpolated_crossing(daily(spark, d), ["event_type"], "x", "y", 100.0).select("event_type", F.round("x_cross", 6).alias("x_cross"))
+    return A.interpolated_crossing(daily(spark, d), ["event_type"], "x", "y", 3000.0).select("event_type", F.round("x_cross", 6).alias("x_cross"))
 
 
 def persistent_crossing(spark, d):
@@ -151,8 +150,8 @@ QUERIES = {
     "range_join_cut_points": (range_join_cut_points, "WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS s FROM d), e AS (SELECT doc_id, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM l), i AS (SELECT doc_id, n, unnest(range(1, 11)) AS i FROM d) SELECT i.doc_id, i.i, count(e.e) AS lines FROM i LEFT JOIN e ON e.doc_id = i.doc_id AND e.e <= i.n * i.i // 11 GROUP BY 1, 2"),
     "multiset_intersect": (multiset_intersect, "WITH a AS (SELECT p_brand, count(*) AS na FROM part WHERE p_size % 2 = 0 GROUP BY 1), b AS (SELECT p_brand, count(*) AS nb FROM part WHERE p_size % 3 = 0 GROUP BY 1), j AS (SELECT coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM a FULL JOIN b USING (p_brand)) SELECT CAST(sum(least(na, nb)) AS BIGINT) AS identical, CAST(sum(CASE WHEN nb > 0 THEN greatest(na - nb, 0) ELSE 0 END) AS BIGINT) AS excess, CAST(sum(CASE WHEN nb = 0 THEN na ELSE 0 END) AS BIGINT) AS \"foreign\", CAST(sum(greatest(nb - na, 0)) AS BIGINT) AS missing FROM j"),
     "ordinal_zip_join": (ordinal_zip_join, "SELECT a.role, b.role AS next_role, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1 GROUP BY 1, 2"),
-    "interp_crossing": (interp_crossing, _DAILY + ", w AS (SELECT *, lag(x) OVER p AS px, lag(y) OVER p AS py FROM d WINDOW p AS (PARTITION BY event_type ORDER BY x)) SELECT event_type, round(CAST(arg_min(CASE WHEN py IS NULL OR py >= 100 THEN x ELSE px + (100 - py) * (x - px) / (y - py) END, x) AS DOUBLE), 6) AS x_cross FROM w WHERE y >= 100 GROUP BY 1"),
-    "persistent_crossing": (persistent_crossing, _DAILY + ", b AS (SELECT event_type, max(CASE WHEN y <= 100 THEN x END) AS bad, max(x) AS last FROM d GROUP BY 1) SELECT event_type, CASE WHEN bad = last THEN NULL ELSE coalesce(bad + 1, 1) END AS x_from FROM b"),
+    "interp_crossing": (interp_crossing, _DAILY + ", w AS (SELECT *, lag(x) OVER p AS px, lag(y) OVER p AS py FROM d WINDOW p AS (PARTITION BY event_type ORDER BY x)), z AS (SELECT event_type, arg_min(CASE WHEN py IS NULL OR py >= 3000 THEN x ELSE px + (3000 - py) * (x - px) / (y - py) END, x) FILTER (y >= 3000) AS inside, arg_max(CASE WHEN y > py THEN x + (3000 - y) * (x - px) / (y - py) ELSE 'inf'::DOUBLE END, x) AS beyond FROM w GROUP BY 1) SELECT event_type, round(CAST(coalesce(inside, beyond) AS DOUBLE), 6) AS x_cross FROM z"),
+    "persistent_crossing": (persistent_crossing, _DAILY + ", b AS (SELECT *, max(CASE WHEN y <= 100 THEN x END) OVER (PARTITION BY event_type) AS bad FROM d) SELECT event_type, min(CASE WHEN bad IS NULL OR x > bad THEN x END) AS x_from FROM b GROUP BY 1"),
     "marginal_slope": (marginal_slope, _DAILY + ", r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x DESC) AS r FROM d) SELECT event_type, round((max(y) FILTER (r = 1) - max(y) FILTER (r = 2)) / (max(x) FILTER (r = 1) - max(x) FILTER (r = 2)), 6) AS slope FROM r WHERE r <= 2 GROUP BY 1"),
     "first_appearance_codes": (first_appearance_codes, "WITH f AS (SELECT o_custkey % 20 AS doc_id, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) SELECT doc_id, o_orderpriority, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS code FROM f"),
     "breaking_point": (breaking_point, "WITH b AS (SELECT count(*) AS size, bool_or(l_returnflag = 'R') AS bad FROM lineitem GROUP BY l_orderkey) SELECT min(size) FILTER (bad) AS least_bad, max(size) FILTER (NOT bad) AS largest_good FROM b"),

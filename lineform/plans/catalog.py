@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lineform.plans import analytics, costs, profile, wire
+from lineform.plans import analytics, costs, evaluation, profile, wire
 
-MODULES = (wire, profile, analytics, costs)
+MODULES = (wire, profile, analytics, evaluation, costs)
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ def _order_cells(spark, d, documents):
 
 
 def constant_columns(spark, d):
-    constant, _ = P.savings(_order_cells(spark, d, F.col("o_custkey")), ORDERS, dictionaries=False)
+    constant, _ = P.savings(_order_cells(spark, d, F.concat((F.col("o_custkey") % 20).cast("string"), "o_orderstatus")), ORDERS, dictionaries=False)
     return constant.groupBy("idx", "cell").agg(F.count("*").alias("n"))
 
 
@@ -106,7 +106,6 @@ def _n(prefix: str):
     return lambda n: F.concat(F.lit(f"{prefix}|n="), n.cast("string"))
 
 
-_KEY = F.col("o_orderkey")
 
 
 def _codes(spark, docs, contract):
@@ -114,42 +113,42 @@ def _codes(spark, docs, contract):
 
 
 def arity_errors(spark, d):
-    tail = F.when(_KEY % 5 == 0, "").when(_KEY % 5 == 1, "|v|w|z").when(_KEY % 5 == 2, "|v|w").otherwise("|v")
-    return _codes(spark, _documents(spark, d, _n("a"), F.concat(_KEY.cast("string"), tail)), PAIRS)
+    tail = F.when(F.col("o_orderkey") % 5 == 0, "").when(F.col("o_orderkey") % 5 == 1, "|v|w|z").when(F.col("o_orderkey") % 5 == 2, "|v|w").otherwise("|v")
+    return _codes(spark, _documents(spark, d, _n("a"), F.concat(F.col("o_orderkey").cast("string"), tail)), PAIRS)
 
 
 def count_mismatch(spark, d):
     head = lambda n: F.concat(F.lit("a|n="), (n + F.col("doc_id") % 3 - 1).cast("string"))
-    found = D.diagnostics(_documents(spark, d, head, F.concat(_KEY.cast("string"), F.lit("|v"))), PAIRS)
+    found = D.diagnostics(_documents(spark, d, head, F.concat(F.col("o_orderkey").cast("string"), F.lit("|v"))), PAIRS)
     return found.select("doc_id", "missing", "excess", F.exists("errors", lambda e: e["code"] == "E04").alias("e04"))
 
 
 def list_and_marker_errors(spark, d):
     """Too long lists, bad items in them, missing and double marks; the size counts before the items."""
-    k = _KEY % 6
+    k = F.col("o_orderkey") % 6
     xs = F.when(k == 0, "1,2,x,4").when(k == 1, "1,x").when(k == 2, "").otherwise("1,2")
     ys = F.when(k == 3, "a,b").when(k == 4, "a*,b*").otherwise('a,"b,c"*')
-    return _codes(spark, _documents(spark, d, _n("m"), F.concat_ws("|", _KEY.cast("string"), xs, ys)), MARKED)
+    return _codes(spark, _documents(spark, d, _n("m"), F.concat_ws("|", F.col("o_orderkey").cast("string"), xs, ys)), MARKED)
 
 
 def truncation_flag(spark, d):
     """Documents that break off in their last line, in one of three ways, or don't."""
-    docs = _documents(spark, d, _n("a"), F.concat(_KEY.cast("string"), F.lit("|v")))
+    docs = _documents(spark, d, _n("a"), F.concat(F.col("o_orderkey").cast("string"), F.lit("|v")))
     k = F.col("doc_id") % 4
     text = F.when(k == 0, F.regexp_replace("text", r"\|v\z", "")).when(k == 1, F.concat("text", F.lit("\\"))).when(k == 2, F.concat("text", F.lit("|w|z"))).otherwise(F.col("text"))
     return D.diagnostics(docs.select("doc_id", text.alias("text")), PAIRS).select("doc_id", "truncated", "valid")
 
 
 def tuple_decode(spark, d):
-    part = F.concat_ws(",", (_KEY % 7).cast("string"), F.when(_KEY % 3 == 0, "").otherwise(F.concat((_KEY % 5).cast("string"), F.lit(".5"))))
-    rows = D.decode(_documents(spark, d, _n("t"), F.concat_ws("|", _KEY.cast("string"), part)), POINTS)
+    part = F.concat_ws(",", (F.col("o_orderkey") % 7).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat((F.col("o_orderkey") % 5).cast("string"), F.lit(".5"))))
+    rows = D.decode(_documents(spark, d, _n("t"), F.concat_ws("|", F.col("o_orderkey").cast("string"), part)), POINTS)
     return rows.groupBy("p.x").agg(F.count("*").alias("n"), F.count("p.y").alias("ys"), F.sum("p.y").alias("total"))
 
 
 _BAD = "SELECT o_custkey AS doc_id, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS bad FROM orders GROUP BY 1"
 
 QUERIES = {
-    "constant_columns": (constant_columns, "WITH c AS (SELECT o_custkey, 0 AS idx, o_orderstatus AS cell FROM orders UNION ALL SELECT o_custkey, 1, o_orderpriority FROM orders), g AS (SELECT o_custkey, idx, min(cell) AS cell, max(cell) AS high, count(*) AS rows FROM c GROUP BY 1, 2) SELECT idx, cell, count(*) AS n FROM g WHERE rows >= 3 AND cell = high AND rows * (strlen(cell) + 1) > strlen('[' || idx || ',\"' || cell || '\"]') + 6 GROUP BY 1, 2"),
+    "constant_columns": (constant_columns, "WITH o AS (SELECT *, (o_custkey % 20) || o_orderstatus AS doc_id FROM orders), c AS (SELECT doc_id, 0 AS idx, o_orderstatus AS cell FROM o UNION ALL SELECT doc_id, 1, o_orderpriority FROM o), g AS (SELECT doc_id, idx, min(cell) AS cell, max(cell) AS high, count(*) AS rows FROM c GROUP BY 1, 2) SELECT idx, cell, count(*) AS n FROM g WHERE rows >= 3 AND cell = high AND rows * (strlen(cell) + 1) > strlen('[' || idx || ',\"' || cell || '\"]') + 6 GROUP BY 1, 2"),
     "dictionary_columns": (dictionary_columns, "WITH o AS (SELECT *, o_custkey % 50 AS doc_id FROM orders), c AS (SELECT doc_id, o_orderkey AS pos, 0 AS idx, o_orderstatus AS cell FROM o UNION ALL SELECT doc_id, o_orderkey, 1, o_orderpriority FROM o), v AS (SELECT doc_id, idx, cell, count(*) AS k, min(pos) AS f FROM c GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY f) - 1 AS code FROM v), s AS (SELECT doc_id, idx, sum(k) AS n, count(*) AS m, sum(length(cell)) AS chars, sum(strlen(cell) * k) AS before, sum(strlen(code::VARCHAR) * k) AS digits, strlen('[' || idx || ',' || to_json(list(cell ORDER BY code))::VARCHAR || ']') + 4 AS cost, string_agg(cell, ',' ORDER BY code) AS book FROM w GROUP BY 1, 2) SELECT doc_id, idx, book FROM s WHERE n >= 6 AND m BETWEEN 2 AND 64 AND 3 * m <= n AND chars >= 6 * m AND before - digits - cost > greatest(32, cost // 3)"),
     "domain_roundtrip": (domain_roundtrip, "SELECT l_suppkey AS doc_id, l_returnflag AS flag, 'status of ' || l_linestatus AS mode, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2, 3"),
     "domain_header_sizes": (domain_header_sizes, "SELECT l_suppkey AS doc_id, count(*) AS n, count(*) AS declared FROM lineitem GROUP BY 1"),

@@ -101,13 +101,17 @@ def header_parse(spark, d):
 
 def html_lengths(spark, d):
     """Text of pages between tags, beside the page's own length."""
-    pages = t(spark, d, "pages").where("NOT contains(html, '<!--')")
-    return pages.select("page_id", F.md5(html_text(F.col("html"))).alias("digest"), F.length("html").alias("n_html"))
+    return t(spark, d, "pages").select("page_id", F.md5(html_text(F.col("html"))).alias("digest"), F.length("html").alias("n_html"))
 
 
 _ORDERS_DOC = "SELECT o_custkey AS doc_id, md5('ord|n=' || count(*) || chr(10) || string_agg(o_orderkey || '|' || o_orderstatus || '|' || CAST(round(o_totalprice * 100) AS BIGINT) || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10)) AS digest FROM orders GROUP BY 1"
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '|', '\|'), chr(13) || chr(10), '\n'), chr(13), '\n'), chr(10), '\n')"
 
+_SKIPPED = "|".join(f"{x}\\b.*?</{x}" for x in ("script", "style", "noscript", "template", "svg"))
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(html, '<(?:{_SKIPPED})\\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
+_OPENED = f"replace(replace(replace(replace(replace(replace({_BARE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_HTML = f"SELECT page_id, md5(trim(regexp_replace({_OPENED}, '\\s+', ' ', 'g'))) AS digest, length(html) AS n_html FROM pages"
+
 QUERIES = {
     "entry_events_roundtrip": (entry_events_roundtrip, "SELECT event_type, count(*) AS n, min(event_id) AS low, max(event_id) AS high, CAST(round(sum(CAST(value AS DECIMAL(20,6))), 2) AS DOUBLE) AS total FROM events GROUP BY 1"),
     "unique_e11": (unique_e11, "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS doc_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), user_id ORDER BY event_id) AS r FROM events) SELECT doc_id, count(*) AS n FROM e WHERE r > 1 GROUP BY 1"),
@@ -118,5 +122,5 @@ QUERIES = {
     "lists_and_tuples": (lists_and_tuples, "SELECT l_orderkey AS okey, count(*) AS n_parts, sum(l_partkey) AS sum_parts, count(*) FILTER (l_returnflag = 'R') AS n_returned, CAST(first(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY 1"),
     "lex_guards": (lex_guards, r"WITH x AS (SELECT l_orderkey % 7 AS k, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem), y AS (SELECT k, CASE k WHEN 0 THEN '+' || q WHEN 1 THEN q || '.5' WHEN 2 THEN q || '.' WHEN 3 THEN '00' || q WHEN 4 THEN '-0.' || q ELSE q END AS x FROM x) SELECT k, count(*) FILTER (regexp_full_match(x, '-?[0-9]+')) AS n_int, count(*) FILTER (regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?')) AS n_float, count(*) FILTER (regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?')) AS n_decimal, min(CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN regexp_replace(x, '^00', '') END) AS least FROM y GROUP BY k"),
     "header_parse": (header_parse, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CASE WHEN n_nationkey % 3 = 0 THEN 'E12' ELSE '' END AS error FROM nation"),
-    "html_lengths": (html_lengths, r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript|template\b.*?</template|svg\b.*?</svg)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest, length(html) AS n_html FROM pages WHERE NOT contains(html, '<!--')"),
+    "html_lengths": (html_lengths, _HTML),
 }
