@@ -54,7 +54,8 @@ def truncation_classes(spark, d):
 
 
 def _sides(spark, d):
-    rows = _lines(spark, d).select((F.col("l_orderkey") % 400).alias("doc_id"), "l_linenumber", "l_returnflag", (F.col("q") % 10).alias("q"), "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")).dropDuplicates(["doc_id", "pos"])
+    rows = _lines(spark, d).select((F.col("l_orderkey") % 400).alias("doc_id"), "l_linenumber", "l_returnflag", (F.col("q") % 10).alias("q"), "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    rows = rows.groupBy("doc_id", "pos").agg(*(F.min(c).alias(c) for c in ("l_linenumber", "l_returnflag", "q", "l_linestatus")), F.count("*").alias("n")).where("n = 1").drop("n")
     fields = ["l_linenumber", "l_returnflag", "q"]
     return rows.where("l_linestatus = 'F'").drop("l_linestatus"), rows.where("l_linestatus <> 'F'").drop("l_linestatus"), fields
 
@@ -189,7 +190,7 @@ def merge_repair(spark, d):
 
 
 _NESTED = "SELECT o_orderkey AS doc_id, o_orderkey::VARCHAR AS k, '\"' || o_orderstatus || '\"' AS s, o_custkey::VARCHAR AS c, (o_orderkey % 7)::VARCHAR AS m FROM orders"
-_SIDE = "WITH r AS (SELECT DISTINCT l_orderkey % 400 AS doc_id, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS a, l_returnflag AS b, CAST(l_quantity AS BIGINT) % 10 AS c, l_linestatus AS s FROM lineitem)"
+_SIDE = "WITH r AS (SELECT l_orderkey % 400 AS doc_id, l_orderkey * 10 + l_linenumber AS pos, min(l_linenumber) AS a, min(l_returnflag) AS b, min(CAST(l_quantity AS BIGINT) % 10) AS c, min(l_linestatus) AS s FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1)"
 
 QUERIES = {
     "censored_quantile": (censored_quantile, "WITH r AS (SELECT l_suppkey, CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END AS x FROM lineitem), s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY x NULLS LAST) - 1 AS i, (count(*) OVER (PARTITION BY l_suppkey) - 1) * 0.6::DOUBLE AS h FROM r), g AS (SELECT l_suppkey, max(CASE WHEN i = floor(h) THEN x END) AS lo, max(CASE WHEN i = ceil(h) THEN x END) AS hi, max(h) AS h FROM s GROUP BY 1) SELECT l_suppkey, round(lo + (h - floor(h)) * (hi - lo), 6) AS value, lo + hi IS NOT NULL AS determined FROM g"),

@@ -33,7 +33,7 @@ def test_fragments_give_what_the_whole_gives(spark, tmp_path, n):
         group = rows[i : i + 3]
         found += reader.push(spark.createDataFrame(group[::-1] + group[:1], FRAGMENTS)).orderBy("line").collect()
     assert streamed(found) == batch_rows(spark, TEXT)
-    assert [r.index for r in found] == [0, 1, None, None, 2]
+    assert [r["index"] for r in found] == [0, 1, None, None, 2]
     r = reader.results().first()
     assert (r.expected, r.received, r.valid, r.missing, r.excess, r.terminated, r.truncated, r.complete) == (5, 5, 3, 0, 0, False, False, False)
 
