@@ -55,30 +55,23 @@ def test_cluster_ratio(spark):
     assert (out["one"].ratio, out["one"].low, out["one"].high) == (0.25, 0.25, 0.25)
 
 
-def merged(spark, doc, answer, contract=C):
-    docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
-    answers = spark.createDataFrame([(1, answer)], "doc_id long, answer string")
-    r = repair.merge(docs, answers, contract).first()
-    return r.text, r.replaced, r.dropped, r.unresolved
-
-
-@pytest.mark.parametrize(
-    ("answer", "want"),
-    [
+MERGES = [
         ("sc|n=4\nb|2|red\n-\nd|3|red\nf|6|red", ("sc|n=6\na|1|red\nb|2|red\nd|3|red\ne|9|red\nf|6|red", [3, 5, 6, 8], [4], [])),
         ("b|y|red\nc|2|red\nd|3|red\na|1|red", ("sc|n=6\na|1|red\nb|x|red\nc|2|red\nd|3|red\ne|9|red", [4, 5, 6], [8], [3])),
         ("sc|n=1\na|7|red", ("sc|n=6\na|1|red\nb|x|red\nc|2|blue\nd|3\nx|red\ne|9|red\nf|q|red", [], [], [3, 4, 5, 6, 8])),
         ("```\nsc|n=4\nb|2|red\nb|2|red\nb|5|red\n\n```", ("sc|n=6\na|1|red\nb|2|red\nd|3\nx|red\ne|9|red\nf|q|red", [3], [4], [5, 6, 8])),
         (None, ("sc|n=6\na|1|red\nb|x|red\nc|2|blue\nd|3\nx|red\ne|9|red\nf|q|red", [], [], [3, 4, 5, 6, 8])),
-    ],
-)
-def test_merge(spark, answer, want):
-    assert merged(spark, DOC, answer) == want
+    ]
 
 
-def test_merge_header(spark):
-    assert merged(spark, "sc|k\na|1|red", "sc|n=1\nsc|n=1") == ("sc|n=1\na|1|red", [1], [], [])
-    assert merged(spark, "sc|k\na|1|red", "sc|n=1\nsc|k=x") == ("sc|k\na|1|red", [], [], [1])
+def test_merge(spark):
+    """One document for each answer, and two whose header is corrected."""
+    heads = [("sc|k\na|1|red", "sc|n=1\nsc|n=1", ("sc|n=1\na|1|red", [1], [], [])), ("sc|k\na|1|red", "sc|n=1\nsc|k=x", ("sc|k\na|1|red", [], [], [1]))]
+    every = [*((DOC, answer, want) for answer, want in MERGES), *heads]
+    docs = spark.createDataFrame([(i, d) for i, (d, _, _) in enumerate(every)], "doc_id long, text string")
+    answers = spark.createDataFrame([(i, a) for i, (_, a, _) in enumerate(every)], "doc_id long, answer string")
+    got = {r.doc_id: (r.text, r.replaced, r.dropped, r.unresolved) for r in repair.merge(docs, answers, C).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(every)}
 
 
 def test_requests_and_continuation(spark):
