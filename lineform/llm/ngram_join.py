@@ -346,11 +346,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     return named.select(F.col("row_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "row_id").alias("component_id"))
 
 
+def _one_of_repeated(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """docs where linked rows of one id are one row; rows of one id whose texts aren't linked all stay."""
+    key, at, row = F.col(f"`{id_col}`"), common.free_name(docs, "__id"), common.free_name(docs, "__row")
+    again = docs.where(key.isNotNull()).groupBy(key.alias(at)).agg(F.count("*").alias("times")).where("times > 1").select(at)
+    if again.isEmpty():
+        return docs
+    again = common.stored(again)
+    rows = common.stored(docs.join(again, key == F.col(at), "left_semi").withColumn(row, F.monotonically_increasing_id()))
+    found = groups(rows, row, text_col, n, percent).select(F.col("doc_id").alias(row), F.col("component_id").alias("component"))
+    first = rows.select(row, key.alias("id")).join(found, row).groupBy("id", "component").agg(F.min(row).alias(row)).select(row)
+    return docs.join(again, key == F.col(at), "left_anti").unionByName(rows.join(first, row, "left_semi").drop(row))
+
+
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of linked ones, that of the smallest id; documents without words stay. Columns are kept."""
+    """docs with one document of each group of linked ones, that of the smallest id; documents without words stay, and rows with a null id. Columns are kept."""
     found = groups(docs, id_col, text_col, n, percent)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    at = common.free_name(docs, "__kept")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(at)).distinct()
+    single = _one_of_repeated(docs, id_col, text_col, n, percent)
+    named = single.join(kept, F.col(f"`{id_col}`") == F.col(at), "left_semi")
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
