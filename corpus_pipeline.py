@@ -8,6 +8,12 @@ columns of ``documents``.
     3. decontamination      hit spans are cut; rows of which more than half is hit go
     4. personal data        spans are replaced by their kind
     5. SentencePiece ids    doc_id, ids, byte spans and the decoded text
+
+Defined cases, for every stage: a null or empty text is scored like any other, is linked with nothing, has no hits
+and no spans, stays null or empty, and gets the end id alone; texts of any length are handled whole; of linked rows
+of one id one stays, rows of one id that aren't linked all stay, and rows with a null id are only filtered by quality
+and by what is hit; equal texts score alike, and of linked ones the smallest id stays, so ties don't depend on order;
+empty tables give empty tables of the same columns; other columns, whatever their names, pass unchanged until stage 5.
 """
 
 from __future__ import annotations
