@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineform.functions.lexical import bound
+from lineform.operators.staging import staged
 
 PROFILE = "rows/1"
 #: The least rows and the bounds of what is factored out; fixed values of the format.
@@ -101,9 +102,12 @@ def _spread(node: dict) -> bool:
 
 def kind_of(v: Column) -> Column:
     """The JSON kind of a variant; null for none."""
-    t = F.schema_of_variant(v)
-    whole = t.rlike(r"^DECIMAL\((19|[23]\d),0\)")
-    return F.when(t == "VOID", "null").when((t == "BIGINT") | whole, "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "number").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
+
+    def named(t: Column) -> Column:
+        whole = t.rlike(r"^DECIMAL\((19|[23]\d),0\)")
+        return F.when(t == "VOID", "null").when((t == "BIGINT") | whole, "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "number").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
+
+    return bound(F.schema_of_variant(v), named)
 
 
 def paths(samples: DataFrame, value: str = "v", most_depth: int = 64) -> list[tuple[tuple[str, ...], dict[str, int]]]:
@@ -219,27 +223,33 @@ def fault(v: Column, node: dict) -> Column:
     none = F.lit(None).cast("string")
     if kind == "json":
         return none
-    actual = kind_of(v)
-    right = actual.isin("integer", "number") if kind == "number" else actual == kind
-    code = F.when(actual == "null", none if node.get("nullable") else F.lit("D_TYPE")).when(~right, "D_TYPE")
+    null = none if node.get("nullable") else F.lit("D_TYPE")
     if kind == "object":
         names = [f["name"] for f in node["fields"]]
-        keys = F.map_keys(F.variant_get(v, "$", "map<string,variant>"))
-        inner = [F.when(F.size(F.array_except(keys, F.array(*map(F.lit, names)).cast("array<string>"))) > 0, "D_UNKNOWN")]
-        for f in node["fields"]:
-            inner.append(bound(F.variant_get(v, _path([f["name"]]), "variant"), lambda x, f=f: F.when(x.isNull(), None if f["optional"] else F.lit("D_REQUIRED")).otherwise(fault(x, f["schema"]))))
-        return code.otherwise(F.coalesce(*inner))
+
+        def members(m: Column) -> Column:
+            inner = [F.when(F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)).cast("array<string>"))) > 0, "D_UNKNOWN")]
+            for f in node["fields"]:
+                inner.append(bound(F.variant_get(v, _path([f["name"]]), "variant"), lambda x, f=f: F.when(x.isNull(), None if f["optional"] else F.lit("D_REQUIRED")).otherwise(fault(x, f["schema"]))))
+            return F.when(F.is_variant_null(v), null).when(m.isNull() & v.isNotNull(), "D_TYPE").otherwise(F.coalesce(*inner))
+
+        return bound(F.try_variant_get(v, "$", "map<string,variant>"), members)  # a value's kind by its whole schema would walk all that is below
     if kind == "array":
-        return code.otherwise(F.get(F.filter(F.transform(F.variant_get(v, "$", "array<variant>"), lambda x: fault(x, node["items"])), lambda c: c.isNotNull()), 0))
-    return code
+        first = lambda items: F.get(F.filter(F.transform(items, lambda x: fault(x, node["items"])), lambda c: c.isNotNull()), 0)
+        return bound(F.try_variant_get(v, "$", "array<variant>"), lambda items: F.when(F.is_variant_null(v), null).when(items.isNull() & v.isNotNull(), "D_TYPE").otherwise(first(items)))
+
+    def judged(actual: Column) -> Column:
+        right = actual.isin("integer", "number") if kind == "number" else actual == kind
+        return F.when(actual == "null", null).when(~right, "D_TYPE")
+
+    return bound(kind_of(v), judged)
 
 
 def cell_of(v: Column, node: dict) -> Column:
     """A column's cell: ? for absent, ~ for null, a bare string unless it would be taken for something else, JSON otherwise."""
     text = packed(v, node)
     if node["type"] == "string":
-        bare = F.try_variant_get(v, "$", "string")
-        text = F.when((bare == "") | bare.isin("?", "~") | bare.startswith('"'), text).otherwise(bare)
+        text = bound(F.try_variant_get(v, "$", "string"), lambda bare: F.when((bare == "") | bare.isin("?", "~") | bare.startswith('"'), packed(v, node)).otherwise(bare))
     return F.when(v.isNull(), "?").when(F.is_variant_null(v), "~").otherwise(text)
 
 
@@ -286,7 +296,7 @@ def savings(cells: DataFrame, domain: Domain, key: str = "doc_id", shared: bool
 def encode_lines(docs: DataFrame, domain: Domain, key: str = "doc_id", value: str = "v", shared: bool = True, dictionaries: bool = True) -> DataFrame:
     """key, pos, line: the header at pos -1 and a line for each record. Documents with a fault aren't written; ``faults`` finds them."""
     good = docs.where(fault(F.col(value), domain.schema).isNull())
-    cells = record_cells(good, domain, key, value)
+    cells = staged(record_cells(good, domain, key, value))
     constant, coded = savings(cells, domain, key, shared, dictionaries)
     d = constant.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "cell"))).alias("d"))
     e = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "values"))).alias("e"))
@@ -356,7 +366,7 @@ def unpacked(v: Column, node: dict) -> tuple[Column, Column]:
         items = F.try_variant_get(v, "$", "array<variant>")
         each = lambda k: F.transform(items, lambda x: unpacked(x, node["items"])[k])
         return F.when(null, "null").otherwise(F.concat(F.lit("["), F.array_join(each(0), ","), F.lit("]"))), F.when(null, bad_null).when(kind_of(v) != "array", "D_TYPE").otherwise(F.get(F.filter(each(1), lambda c: c.isNotNull()), 0))
-    right = kind_of(v).isin("integer", "number") if kind == "number" else kind_of(v) == kind
+    right = bound(kind_of(v), lambda k: k.isin("integer", "number")) if kind == "number" else kind_of(v) == kind
     return F.when(null, "null").otherwise(_number(v) if kind == "number" else F.to_json(v)), F.when(null, bad_null).when(~right, "D_TYPE")
 
 
@@ -407,13 +417,14 @@ def read_lines(docs: DataFrame, domain: Domain, key: str = "doc_id", text: str =
     total = F.size("ls") - 1
     count = F.when(F.col("n").cast("long") != total, "D_COUNT").when(F.lit(domain.record_path is None) & (total != 1), "D_COUNT")
     top = top.withColumn("head", head).withColumn("code", F.coalesce("head", count, wrapper))
-    first = top.select(key, F.lit(1).alias("line"), F.lit(None).cast("string").alias("json"), "code", value("m").alias("wrapper"))
-    rows = top.where("head IS NULL").select(key, "d", "e", F.posexplode(F.slice("ls", 2, F.greatest(total, F.lit(0)))).alias("pos", "l"))
+    # the header's own row comes at pos 0, so that a document's text is read once
+    top = top.withColumn("m", value("m"))
+    rows = top.select(key, "d", "e", "m", F.col("code").alias("head_code"), F.posexplode(F.when(F.col("head").isNull(), F.col("ls")).otherwise(F.slice("ls", 1, 1))).alias("pos", "l"))
     shared = F.map_from_entries(F.transform(F.coalesce("d", F.array().cast("array<array<string>>")), lambda p: F.struct(p[0].cast("int"), p[1])))
     rows = rows.withColumns({"shared": shared, "c": _cells(F.col("l"))})
     expected = F.lit(len(columns)) - F.size("shared")
     own = F.when((expected == 0) & (F.col("l") == "-"), F.array().cast("array<string>")).otherwise(F.col("c.cells"))
-    rows = rows.withColumn("own", own).withColumn("bad", F.when(~F.col("c.ok"), "D_ESCAPE").when(F.size("own") != expected, "D_ARITY"))
+    rows = rows.withColumn("own", own).withColumn("bad", F.when(F.col("pos") == 0, "").when(~F.col("c.ok"), "D_ESCAPE").when(F.size("own") != expected, "D_ARITY"))
     values = {}
     for i, c in enumerate(columns):
         before = F.size(F.filter(F.map_keys("shared"), lambda k: k < i))
@@ -431,8 +442,8 @@ def read_lines(docs: DataFrame, domain: Domain, key: str = "doc_id", text: str =
     rows = rows.withColumns(values)
     code = F.coalesce("bad", *(F.col(f"c{i}.code") for i in range(len(columns))))
     text_of = _assembled(domain, columns)
-    body = rows.select(key, (F.col("pos") + 2).alias("line"), F.when(code.isNull(), text_of).alias("json"), code.alias("code"), F.lit(None).cast("string").alias("wrapper"))
-    return first.unionByName(body)
+    body = F.col("pos") > 0
+    return rows.select(key, (F.col("pos") + 1).alias("line"), F.when(body & code.isNull(), text_of).alias("json"), F.when(body, code).otherwise(F.col("head_code")).alias("code"), F.when(~body, F.col("m")).alias("wrapper"))
 
 
 def _assembled(domain: Domain, columns: list[dict]) -> Column:

@@ -99,3 +99,18 @@ def test_contract_checks(spark):
     one = spark.createDataFrame([(1, '{"a":1}')], "doc_id long, j string").select("doc_id", F.parse_json("j").alias("v"))
     c = D.infer_domain(one, "p")
     assert c.record_path is None and [r.json for r in D.decode_records(D.encode(one, c), c).collect()] == ['{"a":1}']
+
+
+def test_a_document_is_judged_and_read_once(spark):
+    """A fault looks at whole schemas only for scalars; lines come from one reading of the text."""
+    text, number = {"type": "string"}, {"type": "number"}
+    row = {"type": "object", "fields": [{"name": n, "optional": False, "schema": x} for n, x in (("s", text), ("x", number))]}
+    domain = D.Domain("q", {"type": "object", "fields": [{"name": "rows", "optional": False, "schema": {"type": "array", "items": row}}]}, ("rows",))
+    texts = ['{"rows":[{"s":"a","x":1},{"s":"b","x":2.5}]}', '{"rows":[{"s":1,"x":1}]}', '{"rows":{}}', "[]", "null", '{"rows":null}', '{"rows":[{"s":"a"}]}', '{"rows":[],"y":1}', "{}", '{"rows":[{"s":"a","x":"1"},{}]}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, j string").select("doc_id", F.parse_json("j").alias("v"))
+    code = D.fault(F.col("v"), domain.schema)
+    assert [x[0] for x in docs.orderBy("doc_id").select(code).collect()] == [None, "D_TYPE", "D_TYPE", "D_TYPE", "D_TYPE", "D_TYPE", "D_REQUIRED", "D_UNKNOWN", "D_REQUIRED", "D_TYPE"]
+    assert str(code).count("schema_of_variant") == 2
+    wire = spark.createDataFrame([(1, "q|v=1")], "doc_id long, text string")
+    plan = D.read_lines(wire, domain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
