@@ -5,37 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineform.functions.lexical import bound
+
 
 def escaped(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def _depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested."""
+    brackets = F.translate(F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]++|\\\\.)*+"', ""), r"[^\[\]{}]", ""), "{}", "[]")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        return bound(s["at"] + F.when(c == "[", 1).otherwise(-1), lambda at: F.struct(at.alias("at"), F.greatest(s["most"], at).alias("most")))
+
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step, lambda s: s["most"])
+
+
 def flatten(docs: DataFrame, key: str = "doc_id", value: str = "v", most_depth: int = 64) -> DataFrame:
-    """key, pointer, json: the leaves of variants (scalars, null, empty arrays and objects), a level at a time."""
-    level = docs.select(key, F.lit("").alias("pointer"), F.col(value).alias("v"))
-    done = None
-    for _ in range(most_depth):
-        text = F.to_json("v")
-        inner = (F.schema_of_variant("v").startswith("ARRAY") | F.schema_of_variant("v").startswith("OBJECT")) & ~text.isin("[]", "{}")
-        leaves = level.where(~inner).select(key, "pointer", text.alias("json"))
-        done = leaves if done is None else done.unionByName(leaves)
-        deep = level.where(inner)
-        if deep.isEmpty():
-            break
-        below = deep.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("p"), F.col("key").alias("k"), F.col("value").alias("w")))
-        level = below.select(key, F.concat("pointer", F.lit("/"), F.coalesce(escaped(F.col("k")), F.col("p").cast("string"))).alias("pointer"), F.col("w").alias("v"))
-    return done
+    """key, pointer, json: the leaves of variants (scalars, null, empty arrays and objects). A first pass finds how deep they are (an error beyond most_depth); then each document is opened in place, a level at a time."""
+    deepest = docs.agg(F.max(_depth(F.to_json(value))).alias("d")).first().d or 0
+    if deepest > most_depth:
+        raise ValueError(f"values are nested {deepest} levels deep, more than {most_depth}")
+    none = F.lit(None).cast("string")
+
+    def opened(e: Column) -> Column:
+        below = lambda name, w: F.struct(F.concat(e["pointer"], F.lit("/"), name).alias("pointer"), none.alias("json"), w.alias("v"))
+        members = F.transform(F.map_entries(F.try_variant_get(e["v"], "$", "map<string,variant>")), lambda m: below(escaped(m["key"]), m["value"]))
+        items = F.transform(F.try_variant_get(e["v"], "$", "array<variant>"), lambda w, i: below(i.cast("string"), w))
+        leaf = lambda text: F.array(F.struct(e["pointer"].alias("pointer"), text.alias("json"), F.lit(None).cast("variant").alias("v")))
+        kids = bound(F.coalesce(items, members), lambda found: F.when(F.size(found) > 0, found).otherwise(leaf(F.to_json(e["v"]))))
+        return F.when(e["json"].isNotNull() | e["v"].isNull(), leaf(e["json"])).otherwise(kids)
+
+    found = docs.select(key, F.array(F.struct(F.lit("").alias("pointer"), none.alias("json"), F.col(value).alias("v"))).alias("es"))
+    for _ in range(deepest):
+        found = found.withColumn("es", F.flatten(F.transform("es", opened)))
+    each = found.select(key, F.explode("es").alias("e"))
+    return each.select(key, "e.pointer", F.coalesce("e.json", F.to_json("e.v")).alias("json"))
 
 
 def unflatten(leaves: DataFrame, key: str = "doc_id", arrays: bool = True) -> DataFrame:
-    """key, json: the values that the pointers make up, from the deepest up. Members named 0, 1, ... without a gap make an array where ``arrays`` is set; members of objects are in order of their names."""
-    deepest = leaves.agg(F.max(F.length("pointer") - F.length(F.replace("pointer", F.lit("/"), F.lit("")))).alias("d")).first().d or 0
-    rows = leaves.select(key, "pointer", "json")
+    """key, json: the values that the pointers make up, from the deepest up. Members named 0, 1, ... without a gap make an array where ``arrays`` is set; members of objects are in order of their names.
+
+    Leaves are dealt by document once; each level is one aggregate of all rows, in which rows above it stay as they are.
+    """
+    levels = lambda: F.length("pointer") - F.length(F.replace("pointer", F.lit("/"), F.lit("")))
+    deepest = leaves.agg(F.max(levels()).alias("d")).first().d or 0
+    rows = leaves.select(key, "pointer", "json").repartition(key)
     for depth in range(deepest, 0, -1):
-        at = F.length("pointer") - F.length(F.replace("pointer", F.lit("/"), F.lit(""))) == depth
         name = F.substring_index("pointer", "/", -1)
         parent = F.substring(F.col("pointer"), F.lit(1), F.length("pointer") - F.length(name) - 1)
-        own = rows.where(at).groupBy(key, parent.alias("parent")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "json"))).alias("ms"))
+        at = rows.withColumn("at", levels() == depth)
+        own = at.groupBy(key, F.when(F.col("at"), parent).otherwise(F.col("pointer")).alias("parent"), "at").agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "json"))).alias("ms"))
         n = F.size("ms")
         numbers = F.transform("ms", lambda m: F.when(m["name"].rlike(r"\A(0|[1-9][0-9]*)\z"), m["name"].try_cast("int")))
         listed = F.lit(arrays) & F.forall(numbers, lambda i: i.isNotNull()) & (F.array_max(numbers) == n - 1)
@@ -43,7 +65,7 @@ def unflatten(leaves: DataFrame, key: str = "doc_id", arrays: bool = True) -> Da
         quoted = lambda t: F.to_json(F.array(F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))))
         members = F.transform("ms", lambda m: F.concat(F.regexp_replace(quoted(m["name"]), r"\A\[|\]\z", ""), F.lit(":"), m["json"]))
         text = F.when(listed, F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
-        rows = rows.where(~at).unionByName(own.select(key, F.col("parent").alias("pointer"), text.alias("json")))
+        rows = own.select(key, F.col("parent").alias("pointer"), F.when(F.col("at"), text).otherwise(F.get("ms", 0)["json"]).alias("json"))
     return rows.select(key, "json")
 
 

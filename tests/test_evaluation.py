@@ -73,6 +73,19 @@ def test_pointers_round_trip(spark):
     assert codes == {"ab": "ab", "abc": "abc", "b": "b"}
 
 
+def test_pointers_read_their_source_once(spark):
+    """Neither a level nor a rebuilt value reads its documents again; what is nested too deep is an error, not left out."""
+    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":[1,{"e":2}]}}}}')], "doc_id long, j string").select("doc_id", F.parse_json("j").alias("v"))
+    scans = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + x._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+    leaves = pointers.flatten(df)
+    assert scans(leaves) == 1 and scans(pointers.unflatten(leaves)) == 1
+    assert {(x.pointer, x.json) for x in leaves.collect()} == {("/a/b/c/d/0", "1"), ("/a/b/c/d/1/e", "2")}
+    deep = spark.createDataFrame([(1, "[" * 70 + '"]["' + "]" * 70)], "doc_id long, j string").select("doc_id", F.parse_json("j").alias("v"))
+    with pytest.raises(ValueError, match="70 levels"):
+        pointers.flatten(deep)
+    assert pointers.flatten(deep, most_depth=80).first().json == '"]["'
+
+
 def test_events_and_fences(spark):
     df = spark.createDataFrame([(1, "data: a\ndata:b\n\n: ping\n\nevent: end\ndata\n\n"), (2, "")], "k long, text string")
     assert [(r.k, r.event, r.data) for r in formats.server_events(df, "k").collect()] == [(1, "message", "a\nb"), (1, "end", "")]
