@@ -43,20 +43,16 @@ def invalid_items(docs: DataFrame, contract: Contract, key: str = "doc_id") -> D
     heads = D.headers(docs, contract, key).where("size(header_errors) > 0").select(key, F.col("header_line").alias("line"), F.col("header_errors").alias("errors"))
     found = staged(D.records(docs, contract, key).where("size(errors) > 0").select(key, "line", "errors").unionByName(heads))
     bad = _physical(docs, key).join(found, [key, "line"])
-    entry = F.struct("pos", F.col("pos").alias("last"), F.array("line").alias("lines"), "text", F.transform("errors", lambda e: e["code"]).alias("codes"), L.field_count(F.col("text")).alias("k"))
-    by = bad.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("found"))
     core, most = len(contract.core), len(contract.fields)
-
-    def merged(done: Column, x: Column) -> Column:
-        before = F.get(done, F.size(done) - 1)
-        k = before["k"] + x["k"] - 1
-        one = (F.size(done) > 0) & (before["pos"] > 0) & (before["last"] == x["pos"] - 1) & (before["k"] < core) & (x["k"] < core) & k.between(core, most)
-        both = F.struct(before["pos"].alias("pos"), x["last"].alias("last"), F.concat(before["lines"], x["lines"]).alias("lines"), F.concat(before["text"], F.lit("\n"), x["text"]).alias("text"), F.concat(before["codes"], x["codes"]).alias("codes"), k.alias("k"))
-        return F.when(one, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(x)))
-
-    empty = F.array().cast("array<struct<pos:int,last:int,lines:array<int>,text:string,codes:array<string>,k:int>>")
-    items = by.select(key, F.posexplode(F.aggregate("found", empty, merged)).alias("item", "i"))
-    return items.select(key, "item", (F.col("i.pos") == 0).alias("is_header"), "i.lines", "i.text", "i.codes")
+    lined = bad.select(key, "pos", "line", "text", F.transform("errors", lambda e: e["code"]).alias("codes"), L.field_count(F.col("text")).alias("k"))
+    by = Window.partitionBy(key).orderBy("pos")
+    # two lines in a row make one record of core to most fields, which needs no third: of a run of such pairs, every second one is joined
+    before, k = F.lag("pos").over(by), F.lag("k").over(by)
+    joins = F.coalesce((before > 0) & (before == F.col("pos") - 1) & (k < core) & (F.col("k") < core) & (k + F.col("k") - 1).between(core, most), F.lit(False))
+    runs = lined.withColumn("joins", joins).withColumn("from", F.max(F.when(~F.col("joins"), F.col("pos"))).over(by))
+    parts = runs.withColumn("own", ~F.col("joins") | ((F.col("pos") - F.col("from")) % 2 == 0)).withColumn("item", F.sum(F.col("own").cast("int")).over(by).cast("int") - 1)
+    both = parts.groupBy(key, "item").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "text", "codes"))).alias("ps"))  # two at most
+    return both.select(key, "item", (F.get("ps", 0)["pos"] == 0).alias("is_header"), F.transform("ps", lambda p: p["line"]).alias("lines"), F.array_join(F.transform("ps", lambda p: p["text"]), "\n").alias("text"), F.flatten(F.transform("ps", lambda p: p["codes"])).alias("codes"))
 
 
 DROP = "-"
