@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineform.functions.lexical import bound
-from lineform.operators.staging import staged
+from lineform.operators.staging import spread, staged
 
 PROFILE = "rows/1"
 #: The least rows and the bounds of what is factored out; fixed values of the format.
@@ -295,7 +295,7 @@ def savings(cells: DataFrame, domain: Domain, key: str = "doc_id", shared: bool
 
 def encode_lines(docs: DataFrame, domain: Domain, key: str = "doc_id", value: str = "v", shared: bool = True, dictionaries: bool = True) -> DataFrame:
     """key, pos, line: the header at pos -1 and a line for each record. Documents with a fault aren't written; ``faults`` finds them."""
-    good = docs.where(fault(F.col(value), domain.schema).isNull())
+    good = spread(docs, key).where(fault(F.col(value), domain.schema).isNull())
     cells = staged(record_cells(good, domain, key, value))
     constant, coded = savings(cells, domain, key, shared, dictionaries)
     d = constant.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "cell"))).alias("d"))
@@ -391,7 +391,7 @@ def read_lines(docs: DataFrame, domain: Domain, key: str = "doc_id", text: str =
     columns = domain.columns
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(F.regexp_replace(whole, r"\n\z", ""), "\n", -1)
-    top = docs.select(key, whole.alias("t"), lines.alias("ls")).withColumn("h", _cells(F.get("ls", 0)))
+    top = spread(docs, key).select(key, whole.alias("t"), lines.alias("ls")).withColumn("h", _cells(F.get("ls", 0)))
     entry = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v"), x.contains("=").alias("whole"))
     top = top.withColumn("es", F.transform(F.slice("h.cells", 2, F.greatest(F.size("h.cells") - 1, F.lit(0))), entry))
     value = lambda k: F.get(F.filter("es", lambda e: e["k"] == k), 0)["v"]
