@@ -18,6 +18,10 @@ _SECOND = tuple(chr(0xF000 + i) for i in range(8))
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+#: An element that stands for itself, with a mark at most.
+PLAIN = r"\A[A-Za-z0-9_.+-]++\*?\z"
+
+
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     """f of x, with x computed once however often f uses it."""
     return F.get(F.transform(F.array(x), lambda one: f(one)), 0)
@@ -74,7 +78,10 @@ def shielded(line: Column, separator: str = ",") -> Column:
 
 
 def restored(text: Column, separator: str = ",") -> Column:
-    return _unpaired(F.translate(text, BACKSLASH + PIPE + COMMA + SEPARATOR + STAR + QUOTE + NEWLINE, "\\|," + separator + '*"\n'))
+    plain = text  # F.translate takes a map's look-up for every character
+    for c, own in zip(RESERVED, ("\\", "|", ",", separator, "*", '"', "\n"), strict=False):
+        plain = F.replace(plain, F.lit(c), F.lit(own))
+    return F.when(has_reserved(text), _unpaired(plain)).otherwise(text)
 
 
 def shielded_text(text: Column) -> Column:
@@ -83,11 +90,13 @@ def shielded_text(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(SPACES))
+    """Trimming at the end goes through the whole text, so it is done only where the last byte can be one of white space."""
+    last = F.substring(text.cast("binary"), -1, 1)
+    return F.when((last > F.lit(b"\x20")) & (last < F.lit(b"\x80")), F.ltrim(text, F.lit(SPACES))).otherwise(F.btrim(text, F.lit(SPACES)))
 
 
 def is_blank(text: Column) -> Column:
-    return trimmed(text) == ""
+    return F.ltrim(text, F.lit(SPACES)) == ""
 
 
 def fields_of(shield: Column) -> Column:
@@ -113,7 +122,9 @@ def elements_of(cell: Column, separator: str = ",") -> Column:
             inner = F.when(starred, F.substring(inner, F.lit(1), F.length(inner) - 1)).otherwise(inner)
             return F.struct(restored(F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(bare), separator).alias("text"), (e["marked"] | starred).alias("marked"))
 
-        return bound(unmarked(trimmed(x)), opened)
+        marked = x.endswith("*")
+        plain = F.struct(F.when(marked, F.replace(x, F.lit("*"), F.lit(""))).otherwise(x).alias("text"), marked.alias("marked"))
+        return F.when(x.rlike(PLAIN), plain).otherwise(bound(unmarked(trimmed(x)), opened))
 
     def quoted_cell(c: Column) -> Column:
         led = F.concat(F.lit(separator), c)
@@ -130,10 +141,12 @@ def escaped_scalar(text: Column) -> Column:
 
 
 def escaped_element(text: Column, separator: str = ",") -> Column:
+    whole = text
     text = F.replace(escaped_scalar(text), F.lit(separator), F.lit("\\" + separator))
     text = F.when(text.endswith("*"), F.concat(F.regexp_replace(text, r"\*$", ""), F.lit("\\*"))).otherwise(text)
     text = F.when(text.startswith('"'), F.concat(F.lit("\\"), text)).otherwise(text)
-    return F.when(text == "", F.lit('""')).otherwise(text)
+    text = F.when(text == "", F.lit('""')).otherwise(text)
+    return F.when(whole.rlike(r"\A[A-Za-z0-9_]++\z"), whole).otherwise(text) if not separator.isalnum() and separator != "_" else text
 
 
 def field_count(line: Column) -> Column:

@@ -22,8 +22,9 @@ ERROR = "struct<code:string,field:string>"
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the array ``lines`` of significant lines: structs (line, text), numbered as they stand."""
-    whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\\x{feff}", "")
-    every = F.transform(F.split(whole, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.rtrim(x, F.lit("\r")).alias("text")))
+    given = F.coalesce(F.col(text), F.lit(""))
+    whole = F.when(given.startswith("\ufeff"), F.regexp_replace(given, "^\\x{feff}", "")).otherwise(given)
+    every = F.transform(F.split(whole, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), F.when(x.endswith("\r"), F.rtrim(x, F.lit("\r"))).otherwise(x).alias("text")))
     return docs.withColumn("lines", F.filter(every, lambda x: ~L.is_blank(x["text"])))
 
 
@@ -80,12 +81,32 @@ def _list(cell: Column, f: Field, counts: Column | None, separator: str) -> Colu
 
     none = F.struct(F.array().cast("array<struct<text:string,marked:boolean>>").alias("elements"), F.lit(True).alias("whole"))
     found = L.bound(F.when(cell == "", none).otherwise(L.elements_of(cell, separator)), judged)
+    if f.type == "list" and f.item == "int" and not separator.isdigit() and separator != "-":
+        found = F.when(cell.rlike(_INTS.format(L._quoted(separator))), _integers(F.split(cell, L._quoted(separator), -1), f, counts)).otherwise(found)
     if not f.optional:
         return found
     nothing = F.struct(F.lit(f.default).cast(f.spark_type()).alias("value"), F.lit(None).cast("int" if f.marker in ("exactly_one", "at_most_one") else "array<int>").alias("picked"), F.lit(None).cast("string").alias("code"))
     return F.when(cell == "", nothing).otherwise(found)
 
 
+#: A list cell of integers that surely fit, without white space, quotes or marks.
+_INTS = r"\A-?[0-9]{{1,18}}+(?:{0}-?[0-9]{{1,18}}+)*+\z"
+
+
+def _integers(items: Column, f: Field, counts: Column | None) -> Column:
+    """As by _list, of items all of which are integers: only the size can be at fault."""
+    n = F.size(items)
+    wrong = F.lit(False)
+    if f.low is not None:
+        wrong = wrong | (n < f.low)
+    if f.high is not None:
+        wrong = wrong | (n > f.high)
+    if counts is not None:
+        wrong = wrong | F.coalesce(n != counts, F.lit(False))
+    picked = F.lit(None).cast("int") if f.marker in ("exactly_one", "at_most_one") else F.array().cast("array<int>")
+    return F.struct(F.when(~wrong, items.cast("array<bigint>")).alias("value"), F.when(~wrong, picked).alias("picked"), F.when(wrong, "E07").alias("code"))
+
+
 def _tuple(cell: Column, f: Field, separator: str) -> Column:
     """struct(value, code) of a shielded cell; parts are judged in order."""
 
@@ -152,9 +173,11 @@ def _parsed(docs: DataFrame, contract: Contract, key: str, outer: bool) -> DataF
 def typed(top: DataFrame, contract: Contract, key: str, outer: bool = False) -> DataFrame:
     """Of headers with ``rest``, the array of record lines: a row for each line, without a check of uniqueness."""
     sep = contract.separator
-    spread = (F.explode_outer if outer else F.explode)("rest").alias("l")
+    spread = F.explode_outer("rest").alias("l")  # plain explode would test rest below all that makes it
     carried = [key, "header_errors", "header_line", "n"]
-    rows = top.select(*carried, F.size("rest").alias("total"), "v", "header", spread).select(*carried, "total", "v", "header", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
+    # total comes before the rows are spread, as each of them would else hold all lines
+    rows = top.withColumn("total", F.size("rest")).select(*carried, "total", "v", "header", spread).select(*carried, "total", "v", "header", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
+    rows = rows if outer else rows.where("line IS NOT NULL")
     rows = rows.withColumn("cells", F.when(L.valid_escapes(F.col("text"), sep), L.fields_of(L.shielded(F.col("text"), sep))))
     size, core, every = F.size("cells"), len(contract.core), len(contract.fields)
     short = size < core
@@ -269,8 +292,9 @@ def decode(docs: DataFrame, contract: Contract, strict: bool = True, key: str =
     """key, line and the contract's columns. Lenient: the records without errors. Strict: those of documents without any."""
     rows = _parsed(docs, contract, key, False)
     if strict:
+        # judged with the rows' own errors: a filter by headers alone would be pushed below the steps that make them, and make them again for each use
         right = (F.size("header_errors") == 0) & F.coalesce(F.col("n") == F.col("total"), F.lit(False))
-        rows = rows.where(right).withColumn("bad", F.max(F.size("errors") > 0).over(Window.partitionBy(key))).where("NOT bad")
+        rows = rows.withColumn("bad", F.max((F.size("errors") > 0) | ~right).over(Window.partitionBy(key))).where("NOT bad")
     return rows.where(F.size("errors") == 0).select(key, "line", "record.*")
 
 
@@ -278,7 +302,8 @@ def _encoded(f: Field, contract: Contract) -> Column:
     value = F.col(f"`{f.name}`")
     if f.type in ("list", "mlist"):
         marked = (lambda i: F.col(f"`{f.selection}`") == i) if f.type == "mlist" and f.marker in ("exactly_one", "at_most_one") else (lambda i: F.array_contains(f"`{f.selection}`", i.cast("int")))
-        text = lambda x, i: F.concat(L.escaped_element(S.scalar_text(x, f.item), contract.separator), F.when(marked(i), "*").otherwise("") if f.type == "mlist" else F.lit(""))
+        bare = f.item == "int" and contract.separator == ","  # digits need no escape
+        text = lambda x, i: F.concat(S.scalar_text(x, f.item) if bare else L.escaped_element(S.scalar_text(x, f.item), contract.separator), F.when(marked(i), "*").otherwise("") if f.type == "mlist" else F.lit(""))
         return F.coalesce(F.array_join(F.transform(value, text), contract.separator), F.lit(""))
     if f.type == "tuple":
         return F.coalesce(F.when(value.isNotNull(), F.concat_ws(contract.separator, *(F.coalesce(L.escaped_element(S.scalar_text(value[p.name], p.type), contract.separator), F.lit("")) for p in f.parts))), F.lit(""))
@@ -301,7 +326,7 @@ def encode(df: DataFrame, contract: Contract, order: list[str], key: str = "doc_
     declared = {f.name for f in contract.header}
     given = [f for f in contract.header if f.name in header] + [Field(name) for name in header if name not in declared]
     heads = [F.first(header[f.name]).alias(f"__{f.name}") for f in given]
-    lines_of = F.array_sort(F.collect_list(F.struct(*order, "wire")))
+    lines_of = F.sort_array(F.collect_list(F.struct(*order, "wire")))  # by the natural order, without array_sort's function
     grouped = rows.groupBy(key).agg(lines_of.alias("__lines"), *heads)
     entries = [F.concat(F.lit(f"{contract.prefix}|n="), F.size("__lines").cast("string"))]
     if version != 1:
