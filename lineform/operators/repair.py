@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lineform.contract import Contract
 from lineform.functions import lexical as L
 from lineform.operators import documents as D
-from lineform.operators.staging import staged
+from lineform.operators.staging import spread, staged
 
 FENCE = r"^\s*(```|~~~)"
 
@@ -40,7 +40,8 @@ def _physical(docs: DataFrame, key: str) -> DataFrame:
 
 def invalid_items(docs: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
     """key, item, is_header, lines, text, codes: invalid lines in order; neighbours that are fragments of one record are one item."""
-    heads = D.headers(docs, contract, key).where("size(header_errors) > 0").select(key, F.col("header_line").alias("line"), F.col("header_errors").alias("errors"))
+    # written before they are tested: the test would sink below the steps that make the headers, which would be made again for each use
+    heads = staged(D.headers(docs, contract, key).select(key, F.col("header_line").alias("line"), F.col("header_errors").alias("errors"))).where("size(errors) > 0")
     found = staged(D.records(docs, contract, key).where("size(errors) > 0").select(key, "line", "errors").unionByName(heads))
     bad = _physical(docs, key).join(found, [key, "line"])
     core, most = len(contract.core), len(contract.fields)
@@ -51,7 +52,7 @@ def invalid_items(docs: DataFrame, contract: Contract, key: str = "doc_id") -> D
     joins = F.coalesce((before > 0) & (before == F.col("pos") - 1) & (k < core) & (F.col("k") < core) & (k + F.col("k") - 1).between(core, most), F.lit(False))
     runs = lined.withColumn("joins", joins).withColumn("from", F.max(F.when(~F.col("joins"), F.col("pos"))).over(by))
     parts = runs.withColumn("own", ~F.col("joins") | ((F.col("pos") - F.col("from")) % 2 == 0)).withColumn("item", F.sum(F.col("own").cast("int")).over(by).cast("int") - 1)
-    both = parts.groupBy(key, "item").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "text", "codes"))).alias("ps"))  # two at most
+    both = parts.groupBy(key, "item").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "text", "codes"))).alias("ps"))  # two at most
     return both.select(key, "item", (F.get("ps", 0)["pos"] == 0).alias("is_header"), F.transform("ps", lambda p: p["line"]).alias("lines"), F.array_join(F.transform("ps", lambda p: p["text"]), "\n").alias("text"), F.flatten(F.transform("ps", lambda p: p["codes"])).alias("codes"))
 
 
@@ -65,7 +66,7 @@ def requests(docs: DataFrame, contract: Contract, most_items: int | None = None,
         items = items.where(F.col("item") < most_items)
     place = F.concat(F.lit("[L"), F.get("lines", 0).cast("string"), F.when(F.size("lines") > 1, F.concat(F.lit("-L"), F.element_at("lines", -1).cast("string"))).otherwise(F.when(F.col("is_header"), " header").otherwise("")), F.lit("] "))
     entry = F.concat(place, F.replace("text", F.lit("\n"), F.lit(" / ")), F.lit("  <- "), F.array_join("codes", ", "))
-    by = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", entry.alias("entry")))).alias("es"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("items"))
+    by = items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("item", entry.alias("entry")))).alias("es"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("items"))
     head = _physical(docs, key).where("pos = 0").select(key, F.col("text").alias("head"))
     k = F.col("items").cast("string")
     prompt = F.concat_ws("\n", F.concat(F.lit("Correct only these lines of a document with the header "), F.coalesce("head", F.lit(f"{contract.prefix}|n=0")), F.lit(":")), F.array_join(F.transform("es", lambda x: x["entry"]), "\n"), F.concat(F.lit(f"Answer with {contract.prefix}|n="), k, F.lit(f" and one line for each, in this order; {DROP} for a line that is no record.")))
@@ -74,7 +75,7 @@ def requests(docs: DataFrame, contract: Contract, most_items: int | None = None,
 
 def _answered(answers: DataFrame, contract: Contract, key: str) -> DataFrame:
     """key, item, cand: the lines of an answer after its header, if it has one."""
-    rows = D.lines(answers.select(key, extracted(F.col("answer"), contract.prefix).alias("text")))
+    rows = D.lines(staged(spread(answers.select(key, extracted(F.col("answer"), contract.prefix).alias("text")), key)))
     first = L.trimmed(F.get("lines", 0)["text"])
     skip = F.when((first == contract.prefix) | first.startswith(contract.prefix + "|"), 2).otherwise(1)
     body = F.slice("lines", skip, F.greatest(F.size("lines"), F.lit(1)))
@@ -88,12 +89,13 @@ def merge(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "d
     the (corrected) header and claims no unique value that a kept record or an earlier correction has; - drops the
     item, and so does a copy of a line that is there already. Whatever isn't resolved stays as it was.
     """
-    base = docs.select(key, extracted(F.col("text"), contract.prefix).alias("text"))
+    # written, as reading would else extract a text for each use
+    base = staged(spread(docs.select(key, extracted(F.col("text"), contract.prefix).alias("text")), key))
     physical = staged(_physical(base, key))
     items = invalid_items(base, contract, key).select(key, "item", "is_header", "lines")
     pairs = staged(items.join(_answered(answers, contract, key), [key, "item"], "left"))
     asked = pairs.where("is_header AND cand IS NOT NULL").select(key, F.col("cand").alias("text"))
-    header = staged(D.headers(asked, contract, key).where(F.size("header_errors") == 0).select(key, F.lit(True).alias("good")))
+    header = staged(D.headers(asked, contract, key).select(key, "header_errors")).where("size(header_errors) = 0").select(key, F.lit(True).alias("good"))
     heads = physical.where("pos = 0").select(key, F.col("text").alias("head")).join(asked.join(header, key).select(key, F.col("text").alias("new_head")), key, "left")
     lines_of = pairs.select(key, "item", "is_header", F.posexplode("lines").alias("part", "line"))
     kept = physical.where("pos > 0").join(lines_of, [key, "line"], "left_anti")
@@ -101,11 +103,11 @@ def merge(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "d
     first = F.min("item").over(Window.partitionBy(key, "cand"))
     tried = staged(pairs.where("NOT is_header AND cand IS NOT NULL").withColumn("first", first).join(texts, [key, "cand"], "left"))
     fresh = (F.col("cand") != DROP) & (F.col("cand") != "") & F.col("there").isNull() & (F.col("item") == F.col("first"))
-    probes = tried.where(fresh).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", "cand"))).alias("cs"))
-    old = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ks"))
+    probes = tried.where(fresh).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("item", "cand"))).alias("cs"))
+    old = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("ks"))
     probe = staged(probes.join(old, key, "left").join(heads, key, "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<line:int,text:string>>"))))
     body = F.concat(F.array(F.coalesce("new_head", "head", F.lit(f"{contract.prefix}|n=0"))), F.transform("ks", lambda x: x["text"]), F.transform("cs", lambda x: x["cand"]))
-    judged = D.records(probe.select(key, F.array_join(body, "\n").alias("text")), contract, key).where(F.size("errors") == 0).select(key, "line")
+    judged = D.records(spread(probe, key).select(key, F.array_join(body, "\n").alias("text")), contract, key).where(F.size("errors") == 0).select(key, "line")
     right = probe.select(key, F.posexplode("cs").alias("j", "c"), (F.size("ks") + 2).alias("from")).select(key, F.col("c.item").alias("item"), (F.col("from") + F.col("j")).alias("line")).join(judged, [key, "line"]).select(key, "item", F.lit(True).alias("right"))
     found = tried.join(staged(right), [key, "item"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
     original = F.max("right").over(Window.partitionBy(key, "cand"))
@@ -115,17 +117,17 @@ def merge(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "d
     known = lines_of.join(states.unionByName(heads_state), [key, "item"], "left").select(key, "line", "part", F.coalesce("state", F.lit("unresolved")).alias("state"), "cand")
     merged = physical.join(known, [key, "line"], "left")
     text = F.when(F.col("state").isNull() | (F.col("state") == "unresolved"), F.col("text")).when((F.col("state") == "replaced") & (F.col("part") == 0), F.col("cand"))
-    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("state") == s, F.col("line")))).alias(s)
-    by = merged.withColumn("new", text).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("new").isNotNull(), F.struct("line", "new")))).alias("ls"), of("replaced"), of("dropped"), of("unresolved"))
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("state") == s, F.col("line")))).alias(s)
+    by = merged.withColumn("new", text).groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("new").isNotNull(), F.struct("line", "new")))).alias("ls"), of("replaced"), of("dropped"), of("unresolved"))
     none = F.array().cast("array<int>")
     return base.select(key).join(by, key, "left").select(key, F.coalesce(F.array_join(F.transform("ls", lambda x: x["new"]), "\n"), F.lit("")).alias("text"), *(F.coalesce(c, none).alias(c) for c in ("replaced", "dropped", "unresolved")))
 
 
 def continued(docs: DataFrame, answers: DataFrame, contract: Contract, key: str = "doc_id") -> DataFrame:
     """key, text, code: documents that end before n records, with the lines of their continuation (answers: key, answer) after them. A broken last line goes first; code is D_EXPECTED_COUNT where the number of lines is still not n."""
-    base = docs.select(key, extracted(F.col("text"), contract.prefix).alias("text"))
+    base = staged(spread(docs.select(key, extracted(F.col("text"), contract.prefix).alias("text")), key))
     state = D.diagnostics(base, contract, key).select(key, "n", "truncated", "received", F.get("invalid_lines", F.size("invalid_lines") - 1).alias("last_bad"))
-    more = _answered(answers, contract, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item", "cand"))).alias("ms"))
+    more = _answered(answers, contract, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("item", "cand"))).alias("ms"))
     rows = D.lines(base).join(state, key).join(more, key, "left")
     broken = F.col("truncated") & (F.element_at("lines", -1)["line"] == F.col("last_bad"))
     own = F.transform(F.when(broken, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines")), lambda x: x["text"])

@@ -81,3 +81,18 @@ def test_requests_and_continuation(spark):
     more = spark.createDataFrame([(2, "sc|n=2\nb|2|red\nc|3|red"), (3, "zz|9|red")], "doc_id long, answer string")
     got = {x.doc_id: (x.text, x.code) for x in repair.continued(docs, more, C).collect()}
     assert got[2] == ("sc|n=3\na|1|red\nb|2|red\nc|3|red", None) and got[3] == ("sc|n=1\na|1|red", None) and got[1][1] == "D_EXPECTED_COUNT"
+
+
+def test_merge_reads_a_text_once(spark):
+    """However many steps use a document's text, it is made and extracted once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    docs = spark.createDataFrame([(i, DOC) for i in range(4)], "doc_id long, text string")
+    answers = spark.createDataFrame([(i, MERGES[0][0]) for i in range(4)], "doc_id long, answer string")
+    got = repair.merge(docs.select("doc_id", counted("text").alias("text")), answers, C).collect()
+    assert {r.text for r in got} == {MERGES[0][1][0]} and read.value == 4
