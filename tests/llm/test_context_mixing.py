@@ -265,3 +265,59 @@ def test_triples_are_those_of_plain_loops(monkeypatch, held):
     for two, n in plain_triples([(t or "").encode() for t in texts * 2]).items():
         want.update({bytes([two >> 8, two & 255, c]): int(n[c]) for c in np.flatnonzero(n)})
     assert got == want
+
+
+def test_tables_grow_without_a_bound():
+    assert [M.bits_for(1 << n) for n in (10, 24, 30, 36, 42)] == [16, 23, 29, 35, 41]
+
+
+def test_contexts_of_more_than_32_bits():
+    datas = [t + b"\xff" for t in (b"", b"a", b"the cat of the mat  of", "é of\n\nthe mat of a é".encode(), b"of the of")]
+    own = M.Pieces([(b"", d) for d in datas], M.Code(np.ones((256, 256))), 41)
+    flat = [(datas[p], i) for p, i in zip(own.piece.tolist(), own.place.tolist(), strict=True)]
+    for k in range(M.K):
+        for part in (own.hashes[k] >> np.uint64(32), own.hashes[k]):
+            seen, back = {}, {}
+            for (d, i), h in zip(flat, part.tolist(), strict=True):
+                want = plain_contexts(d, i)[k]
+                assert seen.setdefault(want, h) == h and back.setdefault(h, want) == want
+        assert own.pairs(k).max() >> M.ROW_BITS > 1 << 32
+
+
+@pytest.mark.parametrize(("bits", "span"), [(16, 20), (16, 9), (41, 20)])
+def test_parts_score_as_the_whole(monkeypatch, bits, span):
+    """Parts that ask for their pairs get the values of the whole tables; texts that nobody learns from ask too."""
+    monkeypatch.setattr(M, "SPAN_BITS", span)
+    monkeypatch.setattr(M, "HELD_PAIRS", 50)
+    texts = [(t or "").encode() for _, t in corpus(5, 60)]
+    whole, _ = model_of(texts[:40], 16 if bits == 16 else 22)
+    code, found = whole.code, []
+    dealt = [(texts[:15], texts[50:]), (texts[15:30], []), (texts[30:40], texts[40:50])]
+    for train, others in dealt:
+        asked = M.Asked(code, bits)
+        asked.add(train, True)
+        asked.add(others, False)
+        found.append(asked.found())
+    answers = [[] for _ in dealt]
+    for k, own in enumerate(M.table_bits(bits)):
+        of = [x[k][0] >> M.ROW_BITS + own - M.slice_bits(own) for x in found]
+        parts = [{} for _ in dealt]
+        for s in sorted({int(i) for x in of for i in x}):
+            there = [i for i, x in enumerate(of) if (x == s).any()]
+            values = M.values_by_part([found[i][k][0][of[i] == s] for i in there], [found[i][k][1][of[i] == s] for i in there], code, own)
+            for i, v in zip(there, values, strict=True):
+                parts[i][s] = v
+        for i, part in enumerate(parts):
+            answers[i].append((found[i][k][0], np.concatenate([part[s] for s in sorted(part)])))
+    for (train, others), answer in zip(dealt, answers, strict=True):
+        part = M.PartModel(code, bits, answer)
+        chosen = [*train, *others]
+        # in wide tables, contexts hardly meet
+        assert part.scores(chosen) == pytest.approx(whole.scores(chosen), rel=1e-9 if bits == 16 else 2e-2)
+        with pytest.raises(KeyError):
+            part.scores([b"never asked for: zzzz"])
+
+
+def test_packed_pairs_come_back():
+    pairs = np.unique(np.random.default_rng(3).integers(0, 1 << 62, 500))
+    assert (C._unpack_pairs(C._pack_pairs(pairs)) == pairs).all()
